@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import leakage, packing
+from lattica.llm import leakage, packing, sentences
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_containers": packing.p6_containers,
         "p6_fill": packing.p6_fill,
         "p7_found": leakage.p7_found,
+        "p8_found": sentences.p8_found,
     }
 
 
