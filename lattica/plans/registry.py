@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.operators import consolidate, orphans, parsing, percentiles, units
+from lattica.operators import changepoints, consolidate, orphans, parsing, percentiles, units
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "p4_assignment": consolidate.p4_assignment,
         "p4_ranges": consolidate.p4_ranges,
         "p4_corners": consolidate.p4_corners,
+        "p5_method": changepoints.p5_method,
         "p5_found": units.p5_found,
     }
 
