@@ -87,39 +87,46 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame
     return labels
 
 
-def strongest_tree(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
-    """Edges of the forest of largest weights (a < b), by rounds in which each part takes its heaviest edge outwards.
+def strongest_layout(nodes: DataFrame, edges: DataFrame, most: int = 60) -> tuple[DataFrame, DataFrame]:
+    """Nodes placed along the heaviest edges, and those edges: (id, component, y, x) and the forest (a, b, weight).
 
-    Equal weights are told apart by the nodes' ids, which makes the forest unique. Edges with a NaN or null weight don't count.
+    Every part of the layout takes its heaviest edge to another part and moves to where that edge puts it, all parts at
+    once; so parts at least halve in number each round. Moves that follow each other are shifts, which add up along
+    chains of parts by doubling. Equal weights are told apart by the nodes' ids, which makes the forest unique and free of
+    cycles. A part's least node lies at (0, 0). Edges with a NaN or null weight don't count.
     """
-    live = materialize(edges.filter("weight is not null and not isnan(weight) and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").groupBy("a", "b").agg(F.max("weight").alias("weight")))
-    labels = nodes.select("id", F.col("id").alias("c"))
-    tree = live.limit(0)
+    clean = edges.filter("weight is not null and not isnan(weight) and a <> b")
+    flip = F.col("a") > F.col("b")
+    sign = F.when(flip, -1.0).otherwise(1.0)
+    one = clean.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("dy") * sign).alias("dy"), (F.col("dx") * sign).alias("dx"), "weight")
+    live = materialize(one.groupBy("a", "b").agg(F.max(F.struct("weight", "dy", "dx")).alias("e")).select("a", "b", "e.dy", "e.dx", "e.weight"))
+    state = nodes.select("id", F.col("id").alias("c"), F.lit(0.0).alias("y"), F.lit(0.0).alias("x"))
+    forest = live.select("a", "b", "weight").limit(0)
     for _ in range(most):
-        e = live.join(labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").filter("ca <> cb")
-        rank = F.struct(F.col("weight"), (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
-        ends = e.select(F.explode(F.array("ca", "cb")).alias("c"), "a", "b", "weight", rank.alias("r"))
-        best = materialize(ends.groupBy("c").agg(F.max_by(F.struct("a", "b", "weight"), "r").alias("e")).select("e.a", "e.b", "e.weight").distinct())
+        at = lambda k: state.select(F.col("id").alias(k), F.col("c").alias(f"c{k}"), F.col("y").alias(f"{k}y"), F.col("x").alias(f"{k}x"))  # noqa: E731, B023
+        e = live.join(at("a"), "a").join(at("b"), "b").filter("ca <> cb")
+        sy, sx = F.col("ay") + F.col("dy") - F.col("by"), F.col("ax") + F.col("dx") - F.col("bx")
+        ends = F.explode(F.array(F.struct(F.col("cb").alias("c"), F.col("ca").alias("p"), sy.alias("sy"), sx.alias("sx")), F.struct(F.col("ca").alias("c"), F.col("cb").alias("p"), (-sy).alias("sy"), (-sx).alias("sx"))))
+        rank = F.struct("weight", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
+        best = materialize(e.select(ends.alias("m"), "a", "b", "weight", rank.alias("r")).groupBy("m.c").agg(F.max_by(F.struct("m.p", "m.sy", "m.sx", "a", "b", "weight"), "r").alias("e")).select("c", "e.*"))
         if best.isEmpty():
             break
-        tree = materialize(tree.unionByName(best).distinct())
-        labels = components(nodes, tree.select("a", "b", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx"), "weight")).withColumnRenamed("component", "c")
-    return tree
-
-
-def place_along(tree: DataFrame, edges: DataFrame, nodes: DataFrame, most: int = 10_000) -> DataFrame:
-    """Positions (id, component, y, x) from walking the forest outwards: each part's least node lies at (0, 0), others where their edges put them."""
-    e = materialize(both_ways(edges.join(tree.select("a", "b"), ["a", "b"])))
-    roots = components(nodes, tree.select("a", "b", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx"), "weight"))
-    placed = materialize(roots.filter("id = component").select("id", "component", F.lit(0.0).alias("y"), F.lit(0.0).alias("x")))
-    front = placed
-    for _ in range(most):
-        step = front.join(e, front.id == e.a).select(F.col("b").alias("id"), "component", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
-        front = materialize(step.join(placed.select("id"), "id", "left_anti"))
-        if front.isEmpty():
-            return placed
-        placed = materialize(placed.unionByName(front))
-    return placed
+        forest = forest.unionByName(best.select("a", "b", "weight").distinct())
+        # Two parts that chose each other did so by the same edge: the lower stays.
+        back = best.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+        up = best.join(back, "p", "left").filter("pp is null or pp <> c or c > p").select("c", "p", "sy", "sx")
+        while True:
+            up = materialize(up)
+            nxt = up.select(F.col("c").alias("p"), F.col("p").alias("q"), F.col("sy").alias("ty"), F.col("sx").alias("tx"))
+            if up.join(nxt, "p", "left_semi").isEmpty():
+                break
+            for _ in range(2):
+                nxt = up.select(F.col("c").alias("p"), F.col("p").alias("q"), F.col("sy").alias("ty"), F.col("sx").alias("tx"))
+                up = up.join(nxt, "p", "left").select("c", F.coalesce("q", "p").alias("p"), (F.col("sy") + F.coalesce("ty", F.lit(0.0))).alias("sy"), (F.col("sx") + F.coalesce("tx", F.lit(0.0))).alias("sx"))
+        state = materialize(state.join(up, "c", "left").select("id", F.coalesce("p", "c").alias("c"), (F.col("y") + F.coalesce("sy", F.lit(0.0))).alias("y"), (F.col("x") + F.coalesce("sx", F.lit(0.0))).alias("x")))
+    first = state.groupBy("c").agg(F.min(F.struct("id", "y", "x")).alias("f"))
+    placed = state.join(first, "c").select("id", F.col("f.id").alias("component"), (F.col("y") - F.col("f.y")).alias("y"), (F.col("x") - F.col("f.x")).alias("x"))
+    return placed, forest.distinct()
 
 
 def merge_parts(placed: DataFrame, offsets: DataFrame) -> DataFrame:

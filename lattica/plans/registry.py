@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.operators import changepoints, consolidate, orphans, parsing, percentiles, units
+from lattica.plans import oracles, reference
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +28,9 @@ def queries() -> dict[str, Query]:
         "p4_corners": consolidate.p4_corners,
         "p5_method": changepoints.p5_method,
         "p5_found": units.p5_found,
+        **reference.QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL | reference.SQL

@@ -87,9 +87,9 @@ SECTIONS = "sections AS (SELECT n_nationkey AS section FROM nation WHERE n_natio
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment records whose numbers are all there, each once."""
     r = load(spark, sf_dir, "alignment_records").dropDuplicates(["record_id"])
-    whole = " and ".join(f"{c} is not null and not isnan({c})" for c in ("peak_y", "peak_x", "weight", "angle"))
+    whole = " and ".join(f"{c} is not null and abs({c}) < 1e308" for c in ("peak_y", "peak_x", "weight", "angle"))
     return r.filter(whole + " and stos_id is not null and flip is not null")
 
 
 ALIGNMENT = """alignment AS (SELECT DISTINCT record_id, stos_id, peak_y, peak_x, weight, angle, flip FROM alignment_records WHERE stos_id IS NOT NULL AND flip IS NOT NULL
- AND peak_y IS NOT NULL AND NOT isnan(peak_y) AND peak_x IS NOT NULL AND NOT isnan(peak_x) AND weight IS NOT NULL AND NOT isnan(weight) AND angle IS NOT NULL AND NOT isnan(angle))"""
+ AND isfinite(peak_y) AND isfinite(peak_x) AND isfinite(weight) AND isfinite(angle))"""
