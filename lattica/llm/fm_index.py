@@ -14,7 +14,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     n = len(symbols)
     bits = max(1, int(symbols.max(initial=0)).bit_length())
     place = max(1, (n - 1).bit_length())
-    depth = max(1, (63 - place) // bits)
+    depth = min(n, max(1, (63 - place) // bits))
     key, alive = np.zeros(n, np.int64), np.ones(n, bool)
     for d in range(depth):
         there = np.zeros(n, np.int64)
