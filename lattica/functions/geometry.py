@@ -54,11 +54,11 @@ class Rect:
 
     def overlap(self, o: Rect) -> Column:
         """Share of this rectangle's area that ``o`` covers, 0 where they are disjoint."""
-        return F.when(self.intersects(o), self.clip(o).area / self.area).otherwise(0.0)
+        return F.when(self.intersects(o), F.try_divide(self.clip(o).area, self.area)).otherwise(0.0)
 
     def overlap_normalized(self, o: Rect) -> Column:
         """Common area relative to the largest that rectangles of these sizes can have in common."""
-        return F.when(self.intersects(o), self.clip(o).area / (F.least(self.height, o.height) * F.least(self.width, o.width))).otherwise(0.0)
+        return F.when(self.intersects(o), F.try_divide(self.clip(o).area, F.least(self.height, o.height) * F.least(self.width, o.width))).otherwise(0.0)
 
     def translate(self, dy: Column, dx: Column) -> Rect:
         return Rect(self.min_y + dy, self.min_x + dx, self.max_y + dy, self.max_x + dx)
@@ -104,7 +104,7 @@ def similarity(y: Column, x: Column, angle: Column, scale: Column, cy: Column, c
 
 
 def similarity_inverse(y: Column, x: Column, angle: Column, scale: Column, cy: Column, cx: Column, dy: Column, dx: Column) -> tuple[Column, Column]:
-    ry, rx = rotate((y - dy - cy) / scale, (x - dx - cx) / scale, -angle)
+    ry, rx = rotate(F.try_divide(y - dy - cy, scale), F.try_divide(x - dx - cx, scale), -angle)
     return ry + cy, rx + cx
 
 

@@ -69,11 +69,11 @@ def downsample_factor(text: Column) -> Column:
     value = (
         F.when(t.rlike(level), F.pow(F.lit(2.0), get(level)))
         .when(t.rlike(power), F.pow(F.lit(2.0), get(power)))
-        .when(t.rlike(percent), F.when(get(percent) > 0, 100.0 / get(percent)))
+        .when(t.rlike(percent), F.when(get(percent) > 0, F.try_divide(F.lit(100.0), get(percent))))
         .when(t.rlike(ratio), F.when((a == 1) & (b > 0), b).when((b == 1) & (a > 0), a))
-        .when(t.rlike(plain), F.when((fraction > 0) & (fraction < 1), 1.0 / fraction).otherwise(fraction))
+        .when(t.rlike(plain), F.when((fraction > 0) & (fraction < 1), F.try_divide(F.lit(1.0), fraction)).otherwise(fraction))
     )
-    return power_of_two(F.when(value < 1, 1.0 / value).otherwise(value))
+    return power_of_two(F.when(value < 1, F.try_divide(F.lit(1.0), value)).otherwise(value))
 
 
 def name_downsample(name: Column) -> Column:

@@ -276,14 +276,14 @@ def p3_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The valid raw records, typed; a mosaic record has nulls in the columns only stos has."""
+    """The valid raw records, typed; a mosaic record has nulls in the columns only stos has, and a number too large for its type is null."""
     good = raw_fields(spark, sf_dir).filter("reason is null")
     f = lambda i: F.get("fields", F.lit(i))
     stos = f(0) == "stos"
     size = F.split(F.trim(f(5)), r"\s+")
     return good.select(
-        F.col("record_id").alias("raw_id"), f(0).alias("kind"), F.trim(f(1)).cast("bigint").alias("id"),
+        F.col("record_id").alias("raw_id"), f(0).alias("kind"), F.trim(f(1)).try_cast("bigint").alias("id"),
         F.when(stos, f(2)).alias("control_image"), F.when(stos, f(3)).otherwise(f(2)).alias("image"),
-        F.when(stos, F.trim(f(4)).cast("int")).alias("downsample"), F.when(stos, F.get(size, F.lit(0)).cast("int")).alias("width"), F.when(stos, F.get(size, F.lit(1)).cast("int")).alias("height"),
+        F.when(stos, F.trim(f(4)).try_cast("bigint")).alias("downsample"), F.when(stos, F.get(size, F.lit(0)).try_cast("bigint")).alias("width"), F.when(stos, F.get(size, F.lit(1)).try_cast("bigint")).alias("height"),
         F.when(stos, f(6)).otherwise(f(3)).alias("transform"), F.when(stos, f(7)).otherwise(f(4)).alias("remark"),
     ).dropDuplicates(["raw_id"])
