@@ -8,15 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def rows_to(df: DataFrame, schema: str, kernel: Callable[[dict], dict | None]) -> DataFrame:
     """``kernel`` on every row as a dict of Python and NumPy values; a None drops the row. One row in, one out: nothing is grouped."""
-    names = [c.split()[0] for c in schema.split(",")]
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
     lists = {f.name for f in df.schema.fields if f.dataType.typeName() == "array"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_schema = None
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
@@ -25,9 +26,7 @@ def rows_to(df: DataFrame, schema: str, kernel: Callable[[dict], dict | None]) -
                 if made is not None:
                     rows.append(made)
             if rows:
-                table = pa.Table.from_pylist(rows).select(names)
-                out_schema = out_schema or table.schema
-                yield from table.to_batches()
+                yield from pa.Table.from_pylist(rows, kinds).to_batches()
 
     return df.mapInArrow(run, schema)
 

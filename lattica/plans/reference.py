@@ -662,3 +662,80 @@ def mesh_with_fallback(spark: SparkSession, d: str) -> DataFrame:
 def transform_compose(spark: SparkSession, d: str) -> DataFrame:
     cp = V.control_points(spark, d)
     return mesh.composed(cp, cp).select("tf_id", "idx", r("t_y", 4), r("t_x", 4), "s_y", "s_x")
+
+
+# Warping and assembling
+
+
+def _placement(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    i = load(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("h"), F.lit(8).alias("w"))
+    k = F.col("image_id")
+    p = i.select(k.alias("tf_id"), ((k % 7) * 0.1).alias("angle"), F.lit(1.0).alias("scale"), ((k % 23) * 5.0).alias("dy"), ((k % 19) * 5.0).alias("dx"), F.lit(3.5).alias("c_y"), F.lit(3.5).alias("c_x"))
+    return i, p
+
+
+_WARP = f"""{V.PIXELS}, par AS (SELECT vec_id AS k, (vec_id%7)*0.1::DOUBLE AS g, (vec_id%23)*5.0::DOUBLE AS dy, (vec_id%19)*5.0::DOUBLE AS dx FROM embeddings),
+place AS (SELECT k, g, dy, dx, (dy::BIGINT+i-4) AS y, (dx::BIGINT+j-4) AS x FROM par, range(16) a(i), range(16) b(j)),
+back AS (SELECT k, y, x, floor(round(cos(g)*(y-dy-3.5)+sin(g)*(x-dx-3.5)+3.5,3)+0.5)::INT AS sy, floor(round(cos(g)*(x-dx-3.5)-sin(g)*(y-dy-3.5)+3.5,3)+0.5)::INT AS sx FROM place),
+warp AS (SELECT b.k AS k, b.y AS y, b.x AS x, p.v AS v, sy, sx FROM back b JOIN pixels p ON p.image_id=b.k AND p.y=b.sy AND p.x=b.sx)"""
+
+
+@query(f"""WITH {_WARP}, best AS (SELECT y, x, arg_min(struct_pack(v:=v,k:=k), row(round(sqrt(pow(0.5+(CASE WHEN sy>=4 THEN sy-4 ELSE 3-sy END)*4/3.0::DOUBLE,2)+pow(0.5+(CASE WHEN sx>=4 THEN sx-4 ELSE 3-sx END)*4/3.0::DOUBLE,2)),9),k)) AS b FROM warp WHERE y>=20 AND y<90 AND x>=10 AND x<70 GROUP BY y, x) SELECT y, x, round(greatest(b.v,0),6)+0.0 AS v, b.k AS key FROM best""")
+def assemble_region(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.operators.assemble import assembled
+
+    return assembled(V.pixels(spark, d), *_placement(spark, d), 8, 8, (20, 10, 90, 70)).select("y", "x", r("v"), "key")
+
+
+@query(f"WITH {V.CONTROL} SELECT tf_id, idx, t_y*0.5 AS t_y, t_x*0.5 AS t_x, s_y*0.5 AS s_y, s_x*0.5 AS s_x FROM control_points")
+def stos_scale(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.operators.refine import scaled_records
+
+    return scaled_records(V.control_points(spark, d), 2.0, 4.0)
+
+
+@query(f"WITH {V.CONTROL} SELECT tf_id, idx, t_y, t_x, s_y, s_x FROM control_points WHERE t_y BETWEEN 10 AND 50 AND t_x BETWEEN 20 AND 70")
+def points_in_rectangle(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.operators.refine import points_in
+
+    return points_in(V.control_points(spark, d), (10.0, 20.0), (50.0, 70.0))
+
+
+@query(f"WITH {V.SECTIONS} SELECT section, CASE WHEN section%3=0 THEN 'new' ELSE 'old' END AS name FROM sections UNION ALL SELECT 100, 'new'")
+def volume_upsert(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.operators.refine import upserted
+
+    v = V.sections(spark, d).select("section", F.lit("old").alias("name"))
+    new = v.filter("section % 3 = 0").select("section").unionByName(spark.range(1).select(F.lit(100).alias("section"))).withColumn("name", F.lit("new"))
+    return upserted(v, new)
+
+
+@query("""SELECT DISTINCT image_id, CASE WHEN bpp=16 THEN (CASE WHEN h<256 THEN 'uint8' WHEN h<32768 THEN 'int16' ELSE 'uint16' END) ELSE 'uint8' END AS kind FROM images WHERE h IS NOT NULL""")
+def pixel_kind(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.sources.images import pixel_kind as kind
+
+    i = load(spark, d, "images").filter("h is not null").select("image_id", "bpp", "h").distinct()
+    return i.select("image_id", kind(F.when(F.col("bpp") == 16, "I").otherwise("L"), F.lit(0), F.col("h")).alias("kind"))
+
+
+@query("""SELECT section_no, n_open, n_deleted, last_h FROM (SELECT section_no, count(*) FILTER (WHERE deleted_at IS NULL) AS n_open, count(*) FILTER (WHERE deleted_at IS NOT NULL) AS n_deleted, arg_max(h, row(registered_at, image_id)) FILTER (WHERE h IS NOT NULL) AS last_h FROM (SELECT DISTINCT image_id, section_no, deleted_at, registered_at, h FROM images) GROUP BY section_no)""")
+def image_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    i = load(spark, d, "images").select("image_id", "section_no", "deleted_at", "registered_at", "h").distinct()
+    return i.groupBy("section_no").agg(F.count_if(F.col("deleted_at").isNull()).alias("n_open"), F.count_if(F.col("deleted_at").isNotNull()).alias("n_deleted"), F.max_by("h", F.when(F.col("h").isNotNull(), F.struct("registered_at", "image_id"))).alias("last_h"))
+
+
+@query("""SELECT DISTINCT stos_id, coalesce(control_mask_full_path,'') <> '' AS has_control_mask, coalesce('999', downsample) AS downsample FROM stos_files""")
+def stos_override(spark: SparkSession, d: str) -> DataFrame:
+    s = load(spark, d, "stos_files").select("stos_id", "control_mask_full_path", "downsample").distinct()
+    return records.overridden(s, {"downsample": F.lit("999")}).select("stos_id", (F.coalesce("control_mask_full_path", F.lit("")) != "").alias("has_control_mask"), "downsample").distinct()
+
+
+@query()
+def arrange_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of 8 x 8 pixels laid four apart, arranged by what their overlaps show; each label is a mosaic of its own far from the others."""
+    from lattica.operators.arrange import arrange
+
+    i = V.image_arrays(spark, d)
+    k = F.col("image_id")
+    t = i.select(k.alias("id"), (F.floor(k / 20) * 5.0).alias("y"), ((k % 20) * 5.0).alias("x"), F.lit(8.0).alias("h"), F.lit(8.0).alias("w"))
+    return arrange(t, i, 8.0, passes=1, first_excess=1.5).select("id", r("y", 2), r("x", 2))
