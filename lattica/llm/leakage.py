@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.fm_index import FMIndex
@@ -75,8 +75,8 @@ class Phrases:
         return np.array([get(w, 0) for w in words(text)], np.int32)
 
 
-def shared(item: np.ndarray, place: np.ndarray, size: int, weights: np.ndarray) -> float:
-    """Share of an item's characters that matched phrases cover in order and in neighbouring places.
+def shared(item: np.ndarray, place: np.ndarray, size: int, weights: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
+    """Share of an item's characters that matched phrases cover in order and in neighbouring places, and these places.
 
     ``item`` and ``place`` are the words of the item and the document at which phrases of ``size`` words match. Matches
     on a diagonal join to a stretch, over up to ``ALTERED`` altered words; then the heaviest ascending chain of stretches
@@ -90,16 +90,25 @@ def shared(item: np.ndarray, place: np.ndarray, size: int, weights: np.ndarray)
     total = np.append(0.0, np.cumsum(weights))
     runs = sorted(zip(place[first].tolist(), item[first].tolist(), (place[last] + size).tolist(), (item[last] + size).tolist(), strict=True))
     best: list[float] = []
+    came: list[int] = []
     for k, (p0, i0, p1, i1) in enumerate(runs):
         gain = total[i1] - total[i0]
-        top = gain
-        for (_, _, q1, j1), b in zip(runs[:k], best, strict=True):
+        top, back = gain, -1
+        for j, ((_, _, q1, j1), b) in enumerate(zip(runs[:k], best, strict=True)):
             # Stretches may touch by a word or two of both; what overlaps counts once.
             over = max(0, j1 - i0, q1 - p0)
             if i1 > j1 and p1 > q1 and over < i1 - i0 and p0 - q1 <= NEIGHBOURS:
-                top = max(top, b + total[i1] - total[i0 + over])
+                joined = b + total[i1] - total[i0 + over]
+                if joined > top:
+                    top, back = joined, j
         best.append(top)
-    return max(best, default=0.0) / total[-1]
+        came.append(back)
+    at = int(np.argmax(best)) if best else -1
+    share, chain = (best[at] / total[-1] if best else 0.0), []
+    while at >= 0:
+        chain.append((runs[at][0], runs[at][2]))
+        at = came[at]
+    return share, chain[::-1]
 
 
 class Shard:
@@ -114,8 +123,8 @@ class Shard:
         self.codes.append(code)
         self.size += len(code) + 1
 
-    def found(self, least: float) -> Iterator[tuple[int, int, float]]:
-        """(document's number in the shard, item's number, share) of each pair that shares at least ``least`` of the item."""
+    def found(self, least: float) -> Iterator[tuple[int, int, float, list[tuple[int, int]]]]:
+        """(document's number in the shard, item's number, share, places in words) of each pair that shares at least ``least`` of the item."""
         lengths = np.array([len(c) + 1 for c in self.codes])
         symbols = np.zeros(int(lengths.sum()), np.int64)
         starts = np.cumsum(lengths) - lengths
@@ -163,40 +172,78 @@ class Shard:
         most = np.bincount(cell, weights=weight, minlength=len(heads)) / self.phrases.totals[pairs % n]
         for k in np.flatnonzero(most >= least).tolist():
             a, b = int(heads[k]), int(tails[k])
-            share = shared(at[a:b], place[a:b], int(sizes[a]), self.phrases.weights[int(pairs[k] % n)])
+            share, places = shared(at[a:b], place[a:b], int(sizes[a]), self.phrases.weights[int(pairs[k] % n)])
             if share >= least:
-                yield int(pairs[k] // n), int(pairs[k] % n), share
+                d = int(pairs[k] // n)
+                yield d, int(pairs[k] % n), share, [(p - int(starts[d]), q - int(starts[d])) for p, q in places]
+
+
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Start and end in code points of each word that ``words`` finds in a text."""
+    norm, origin = [], []
+    at = 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and unicodedata.combining(text[end]):
+            end += 1
+        if text[at] not in _UNSEEN:
+            part = unicodedata.normalize("NFKC", text[at:end]).casefold()
+            norm.append(part)
+            origin += [(at, end)] * len(part)
+        at = end
+    return [(origin[m.start()][0], origin[m.end() - 1][1]) for m in _WORDS.finditer("".join(norm))]
 
 
 def leaks(docs: DataFrame, items: list[tuple[int, str]], least: float = LEAST_SHARE) -> DataFrame:
-    """(doc_id, item_id, share) of the documents (doc_id, text) that hold at least ``least`` of an item's text.
+    """(doc_id, item_id, share, spans) of the documents (doc_id, text) that hold at least ``least`` of an item's text.
 
-    Each task indexes its documents in shards and searches all phrases of the items in each. A document is indexed whole.
-    A null or empty text holds nothing. An item without words is in no document.
+    ``spans`` are the places of the item's parts in the document, in code points. Each task indexes its documents in shards
+    and searches all phrases of the items in each. A document is indexed whole. A null or empty text holds nothing. An
+    item without words is in no document.
     """
     phrases = Phrases([(i, t) for i, t in items if words(t)])
     ids = np.array(phrases.ids, np.int64)
-    schema = "doc_id bigint, item_id bigint, share double"
+    span = pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, names = Shard(phrases), []
+        shard, names, texts = Shard(phrases), [], []
 
         def flush() -> pa.RecordBatch:
-            out = list(shard.found(least))
-            doc, item, share = (np.array([x[k] for x in out]) for k in range(3))
-            return pa.RecordBatch.from_arrays([pa.array([names[d] for d in doc.tolist()], pa.int64()), pa.array(ids[item.astype(int)] if len(out) else [], pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "share"])
+            rows, places = [], {}
+            for d, i, share, runs in shard.found(least):
+                if d not in places:
+                    places[d] = word_places(texts[d])
+                at = places[d]
+                rows.append((names[d], int(ids[i]), share, [{"start_pos": at[p][0], "end_pos": at[min(q, len(at)) - 1][1]} for p, q in runs if p < len(at)]))
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(span)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "share", "spans"])
 
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 names.append(name)
+                texts.append(text)
                 shard.add(phrases.code(text))
                 if shard.size >= SHARD:
                     yield flush()
-                    shard, names = Shard(phrases), []
+                    shard, names, texts = Shard(phrases), [], []
         if names:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, item_id bigint, share double, spans array<struct<start_pos:int,end_pos:int>>")
+
+
+def merged_spans(found: DataFrame) -> DataFrame:
+    """(doc_id, start_pos, end_pos, n_items): what to remove from each document, overlapping spans of all its items joined.
+
+    A span begins where no earlier one of the document reaches: the largest end so far tells. A document's spans are few,
+    as they lie side by side in its text.
+    """
+    s = found.select("doc_id", "item_id", F.explode("spans").alias("s")).select("doc_id", "item_id", "s.start_pos", "s.end_pos").distinct()
+    w = Window.partitionBy("doc_id").orderBy("start_pos", "end_pos", "item_id")
+    reach = F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = s.withColumn("opens", (reach.isNull() | (F.col("start_pos") > reach)).cast("int"))
+    run = opened.withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy("doc_id", "run").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count_distinct("item_id").alias("n_items")).drop("run")
 
 
 def all_leaks(spark: SparkSession, sf_dir: str, least: float = LEAST_SHARE) -> DataFrame:
@@ -212,3 +259,7 @@ def all_leaks(spark: SparkSession, sf_dir: str, least: float = LEAST_SHARE) -> D
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merged_spans(all_leaks(spark, sf_dir))

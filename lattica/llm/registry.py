@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_containers": packing.p6_containers,
         "p6_fill": packing.p6_fill,
         "p7_found": leakage.p7_found,
+        "p7_spans": leakage.p7_spans,
         "p8_found": sentences.p8_found,
     }
 

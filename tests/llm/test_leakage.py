@@ -85,3 +85,14 @@ def test_shards_do_not_matter(spark, monkeypatch):
     monkeypatch.setattr(L, "SHARD", 100)
     assert leaks(spark, texts) == whole == {(i, 7) for i in range(0, 60, 5)}
     assert leaks(spark, [], [(1, ITEM)]) == set()
+
+
+def test_spans_point_at_the_leak(spark):
+    texts = [f"Ｆull\u00ad width e\u0301t. {ITEM} After. {ITEM[:110]}", f"{' '.join(ITEM.split()[:14])}. {' '.join(f'f{i}' for i in range(60))} {' '.join(ITEM.split()[14:30])} end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = sorted(tuple(r) for r in L.merged_spans(L.leaks(docs, [(7, ITEM), (8, ITEM[:150])])).collect())
+    first = [r for r in rows if r[0] == 0]
+    assert texts[0][first[0][1] : first[0][2]] == ITEM[:-1] and first[0][3] == 2
+    assert [texts[1][a:b].split()[0] for d, a, b, _ in rows if d == 1] == ["Order", ITEM.split()[14]]
+    for t in texts:
+        assert [L.words(t[a:b])[0] for a, b in L.word_places(t)] == L.words(t)
