@@ -55,3 +55,43 @@ SELECT DISTINCT source_table, record_id, reason FROM res WHERE reason IS NOT NUL
     "p4_assignment": f"WITH {_CURRENT} SELECT level, byte_offset//134217728 AS file_no, byte_offset, tile, file_id, n_bytes, content_crc FROM placed",
     "p4_ranges": f"WITH {_CURRENT} SELECT level, byte_offset//134217728 AS file_no, min(tile) AS first_tile, max(tile) AS last_tile, count(*) AS n_tiles, sum(n_bytes)::BIGINT AS n_bytes FROM placed GROUP BY ALL",
 }
+
+#: Nanometres by spelling of a unit, as in the engine.
+_UNITS = {**{w: 1 for w in ("nm", "nanometer", "nanometers", "nanometre", "nanometres", "nanometern")}, **{w: 1e3 for w in ("µm", "μm", "um", "micron", "microns", "micrometer", "micrometers", "micrometre", "micrometres", "mikrometer", "mikrometern")}, **{w: 1e6 for w in ("mm", "millimeter", "millimeters", "millimetre", "millimetres", "millimetern")}, **{w: 0 for w in ("px", "pix", "pixel", "pixels")}}
+_ALT = "|".join(sorted(_UNITS, key=len, reverse=True))
+_NUM = r"[+-]?(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)(?:[eE][+-]?[0-9]+)?"
+
+
+def _scale(word: str) -> str:
+    return "(CASE " + " ".join(f"WHEN {word} IN ({', '.join(repr(w) for w, v in _UNITS.items() if v == k)}) THEN {float(k)}" for k in (1, 1e3, 1e6, 0)) + " END)"
+
+
+def _unit_in(text: str) -> str:
+    return _scale(f"regexp_extract(lower(coalesce({text},'')), '(?:^|[^\\p{{L}}_])({_ALT})(?:$|[^\\p{{L}}_])', 1)")
+
+
+def _pixels(value: str, scale: str, full: str) -> str:
+    return f"CASE WHEN {scale}>0 THEN {value}*{scale}/pixel_nm WHEN {full} THEN {value} ELSE {value}*ds END"
+
+
+def _with_units(parse: str) -> str:
+    """Rows of p5_found; ``parse`` gives the valid transforms of stos_files as ``parsed``."""
+    frac = r"([0-9]+(?:[.,][0-9]+)?)"
+    got = lambda p, i=1: f"try_cast(replace(regexp_extract(t, '{p}', {i}), ',', '.') AS DOUBLE)"
+    ratio, level, power, percent, plain = rf"^{frac} ?[:/] ?{frac}$", r"^(?:level|lvl) ?([0-9]+)$", r"^2 ?\^ ?([0-9]+)$", rf"^{frac} ?%$", rf"^(?:ds|x)? ?{frac} ?x?$"
+    coordinates = rf"(?:coordinates?|coords?|points?|units?|koordinaten)\b[^,;.]{{0,40}}?[^\p{{L}}_]({_ALT})(?:$|[^\p{{L}}_])"
+    full = "regexp_matches(lower(coalesce({0},'')), 'full[ _-]*(?:res\\b|resolution)')"
+    two = lambda v: f"CASE WHEN {v}>=1 AND pow(2,round(log2({v})))={v} THEN {v} END"
+    return rf"""WITH {parse}, s AS (SELECT DISTINCT stos_id, stos_name, lower(trim(regexp_replace(coalesce(downsample,''),'\s+',' ','g'))) AS t, mapped_image_dim, pixel_nm, coord_unit, remark FROM stos_files),
+v AS (SELECT *, CASE WHEN regexp_matches(t,'{level}') THEN pow(2,{got(level)}) WHEN regexp_matches(t,'{power}') THEN pow(2,{got(power)}) WHEN regexp_matches(t,'{percent}') THEN 100/{got(percent)} WHEN regexp_matches(t,'{ratio}') THEN CASE WHEN {got(ratio)}=1 THEN {got(ratio, 2)} WHEN {got(ratio, 2)}=1 THEN {got(ratio)} END
+ WHEN regexp_matches(t,'{plain}') THEN CASE WHEN {got(plain)}<1 THEN 1/{got(plain)} ELSE {got(plain)} END END AS val, try_cast(nullif(regexp_extract(stos_name,'_([0-9]+)(?:\.[A-Za-z]+)?\s*$',1),'') AS DOUBLE) AS named FROM s),
+q AS (SELECT *, coalesce({two('val')}, {two('named')}) AS ds, list_transform(regexp_extract_all(coalesce(mapped_image_dim,''),'{_NUM}'), lambda x: replace(x,',','.')::DOUBLE) AS dims, {_unit_in('mapped_image_dim')} AS d_scale, {full.format('mapped_image_dim')} AS d_full,
+ coalesce({_unit_in('coord_unit')}, {_scale(f"regexp_extract(lower(coalesce(remark,'')), '{coordinates}', 1)")}) AS x_scale, {full.format('coord_unit')} AS x_full FROM v),
+x AS (SELECT q.*, CASE transform_type[1] WHEN 'L' THEN fp[1] WHEN 'R' THEN vp[2] WHEN 'C' THEN vp[5] WHEN 'G' THEN vp[1] WHEN 'M' THEN vp[3] END AS fx FROM q LEFT JOIN parsed ON tf_id=stos_id),
+long AS (SELECT stos_id, 'downsample' AS field_name, ds AS value FROM x UNION ALL SELECT stos_id, 'mapped_width', {_pixels('dims[-2]', 'd_scale', 'd_full')} FROM x WHERE len(dims)>=2 UNION ALL SELECT stos_id, 'mapped_height', {_pixels('dims[-1]', 'd_scale', 'd_full')} FROM x WHERE len(dims)>=2 UNION ALL SELECT stos_id, 'transform_x', {_pixels('fx', 'x_scale', 'x_full')} FROM x)
+SELECT stos_id, field_name, round(value)::BIGINT AS value_px FROM long WHERE value IS NOT NULL"""
+
+
+def with_transforms_sql(parse: str) -> dict[str, str]:
+    """Queries that need the parsed transforms."""
+    return {"p5_found": _with_units(parse)}

@@ -393,7 +393,7 @@ def _parsed(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("record_id").alias("tf_id"), "transform_type", "vp", "fp")
 
 
-_PARSE = r"""tok AS (SELECT DISTINCT stos_id AS tf_id, string_split_regex(trim(transform_str, ' '||chr(9)||chr(10)||chr(13)), '\s+') AS t FROM stos_files),
+PARSE = r"""tok AS (SELECT DISTINCT stos_id AS tf_id, string_split_regex(trim(transform_str, ' '||chr(9)||chr(10)||chr(13)), '\s+') AS t FROM stos_files),
 kind AS (SELECT tf_id, t[1] AS transform_type, list_position(t,'fp') AS f, t FROM tok WHERE t[2]='vp' AND list_position(t,'fp')>0 AND regexp_full_match(t[3],'\d+') AND regexp_full_match(coalesce(t[list_position(t,'fp')+1],''),'\d+')),
 num AS (SELECT tf_id, transform_type, t[3]::BIGINT AS nv, t[f+1]::BIGINT AS nf, t[4:f-1] AS v, t[f+2:] AS p FROM kind WHERE len(list_filter(t[4:f-1]||t[f+2:], lambda x: NOT regexp_full_match(x,'[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')))=0),
 dbl AS (SELECT tf_id, transform_type, nv, nf, list_transform(v, lambda x: x::DOUBLE) AS vp, list_transform(p, lambda x: x::DOUBLE) AS fp FROM num WHERE nv=len(v) AND nf=len(p)),
@@ -401,13 +401,13 @@ parsed AS (SELECT tf_id, transform_type, vp, fp FROM dbl WHERE len(list_filter(v
  OR (transform_type='GridTransform_double_2_2' AND nf=7 AND nv=2*(fp[2]+1)*(fp[3]+1)) OR (transform_type='MeshTransform_double_2_2' AND nf=8 AND nv=4*fp[8])))"""
 
 
-@query(f"WITH {_PARSE} SELECT tf_id, transform_type, len(vp)::INT AS n_vp, len(fp)::INT AS n_fp, round(coalesce(list_sum(vp),0),3)+0.0 AS sum_vp, round(coalesce(list_sum(fp),0),3)+0.0 AS sum_fp FROM parsed")
+@query(f"WITH {PARSE} SELECT tf_id, transform_type, len(vp)::INT AS n_vp, len(fp)::INT AS n_fp, round(coalesce(list_sum(vp),0),3)+0.0 AS sum_vp, round(coalesce(list_sum(fp),0),3)+0.0 AS sum_fp FROM parsed")
 def transform_parse(spark: SparkSession, d: str) -> DataFrame:
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 3) + 0.0
     return _parsed(spark, d).select("tf_id", "transform_type", F.size("vp").alias("n_vp"), F.size("fp").alias("n_fp"), total("vp").alias("sum_vp"), total("fp").alias("sum_fp"))
 
 
-_PARAMS = f"""{_PARSE}, params AS (SELECT tf_id, CASE WHEN transform_type[1]='R' THEN vp[1] WHEN transform_type[1]='C' THEN vp[2] ELSE 0 END AS angle, CASE WHEN transform_type[1]='C' THEN vp[1] ELSE 1 END AS scale,
+_PARAMS = f"""{PARSE}, params AS (SELECT tf_id, CASE WHEN transform_type[1]='R' THEN vp[1] WHEN transform_type[1]='C' THEN vp[2] ELSE 0 END AS angle, CASE WHEN transform_type[1]='C' THEN vp[1] ELSE 1 END AS scale,
  CASE WHEN transform_type[1]='R' THEN vp[3] WHEN transform_type[1]='C' THEN vp[6] ELSE fp[2] END AS dy, CASE WHEN transform_type[1]='R' THEN vp[2] WHEN transform_type[1]='C' THEN vp[5] ELSE fp[1] END AS dx,
  CASE WHEN transform_type[1]='R' THEN fp[2] WHEN transform_type[1]='C' THEN vp[4] ELSE fp[4] END AS c_y, CASE WHEN transform_type[1]='R' THEN fp[1] WHEN transform_type[1]='C' THEN vp[3] ELSE fp[3] END AS c_x FROM parsed WHERE transform_type[1] IN ('R','C','L')),
 q AS (SELECT tf_id, k AS q, (k%4)*100.0::DOUBLE AS y, (k//4)*50.0::DOUBLE AS x, angle, scale, dy, dx, c_y, c_x FROM params, range(8) t(k))"""
@@ -430,7 +430,7 @@ def rigid_inverse(spark: SparkSession, d: str) -> DataFrame:
     return transforms.map_points(_points(p), p, inverse=True).select("tf_id", "q", r("y", 4), r("x", 4))
 
 
-_POINTS = f"""{_PARSE}, cp AS (
+_POINTS = f"""{PARSE}, cp AS (
 SELECT tf_id, i::INT AS idx, vp[2*i+2] AS t_y, vp[2*i+1] AS t_x, (i//(fp[2]+1)::INT)*fp[7]/greatest(fp[3],1) AS s_y, (i%(fp[2]+1)::INT)*fp[6]/greatest(fp[2],1) AS s_x FROM parsed, range(len(vp)//2) t(i) WHERE transform_type[1]='G'
 UNION ALL SELECT tf_id, i::INT, vp[4*i+4], vp[4*i+3], fp[5]+vp[4*i+2]*fp[7], fp[4]+vp[4*i+1]*fp[6] FROM parsed, range(len(vp)//4) t(i) WHERE transform_type[1]='M'
 UNION ALL SELECT tf_id, i::INT, fp[2]+(i//2)*2*fp[4], fp[1]+(i%2)*2*fp[3], (i//2)*2*fp[4], (i%2)*2*fp[3] FROM parsed, range(4) t(i) WHERE transform_type[1]='L')"""

@@ -33,4 +33,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL | reference.SQL
+    return oracles.SQL | oracles.with_transforms_sql(reference.PARSE) | reference.SQL
