@@ -210,3 +210,27 @@ def angle_search(pairs: DataFrame, angles: list[float]) -> DataFrame:
     scored = rows_to(rows, "a bigint, b bigint, angle double, dy double, dx double, weight double", kernel)
     best = scored.groupBy("a", "b").agg(F.max_by(F.struct("angle", "dy", "dx", "weight"), F.struct("weight", (-F.col("angle")).alias("o"))).alias("r"))
     return best.select("a", "b", "r.angle", "r.dy", "r.dx", "r.weight")
+
+
+def converted(images: DataFrame, bits: int, flip: bool = False, flop: bool = False, invert: bool = False, levels: tuple[float, float] | None = None, gamma: float = 1.0, scale: float = 1.0) -> DataFrame:
+    """Images (name, h, w, bpp, data) with their size, levels and orientation changed, at most ``bits`` deep: (name, h, w, data, error).
+
+    An image that can't be converted has a row with its error; the others go on.
+    """
+    if levels and levels[0] >= levels[1]:
+        raise ValueError("lowest level must be below highest")
+
+    def kernel(r: dict) -> dict:
+        try:
+            v = _image(r) / (2.0 ** r["bpp"] - 1)
+            if scale != 1:
+                v = resized(v, scale)
+            v = v[:: -1 if flip else 1, :: -1 if flop else 1]
+            lo, hi = levels or (0.0, 1.0)
+            v = np.clip((v - lo) / (hi - lo), 0, 1) ** (1 / gamma)
+            v = np.floor((1 - v if invert else v) * (2.0 ** min(bits, r["bpp"]) - 1))
+            return {"name": r["name"], "h": v.shape[0], "w": v.shape[1], "data": v.ravel().tolist(), "error": None}
+        except Exception as e:  # noqa: BLE001
+            return {"name": r["name"], "h": None, "w": None, "data": None, "error": f"{type(e).__name__}: {e}"}
+
+    return rows_to(images.select("name", "h", "w", "bpp", "data"), "name string, h int, w int, data array<double>, error string", kernel)

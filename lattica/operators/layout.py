@@ -23,6 +23,13 @@ def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     return edges.join(clean.select(*pair), pair, "left_anti").select("a", "b", "dy", "dx", "weight").unionByName(clean.select("a", "b", "dy", "dx", "weight"))
 
 
+def without_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without the nodes ``gone`` (id) and the edges at them."""
+    out = gone.select("id").distinct()
+    left = edges.join(out.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "b"), "b", "left_anti")
+    return nodes.join(out, "id", "left_anti"), left.select("a", "b", "dy", "dx", "weight")
+
+
 def weights_to_range(edges: DataFrame, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
     """Weights stretched to lo .. hi; equal ones all become hi. The extrema, one row, are broadcast."""
     if lo >= hi:

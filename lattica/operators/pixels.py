@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,3 +159,8 @@ def linear_distance(y: Column, x: Column, h: int, w: int) -> Column:
     """The simpler distance, -n/2 .. n/2 over each axis."""
     dy, dx = -h / 2 + y * (h / (h - 1)), -w / 2 + x * (w / (w - 1))
     return F.sqrt(dy * dy + dx * dx)
+
+
+def combined(px: DataFrame, fold: Callable[[Column], Column]) -> DataFrame:
+    """Images of one size folded into one by an aggregate of the caller's, such as ``F.max``: per place over all images."""
+    return px.groupBy("y", "x").agg(fold(F.col("v")).alias("v"))

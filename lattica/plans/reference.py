@@ -739,3 +739,66 @@ def arrange_tiles(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("image_id")
     t = i.select(k.alias("id"), (F.floor(k / 20) * 5.0).alias("y"), ((k % 20) * 5.0).alias("x"), F.lit(8.0).alias("h"), F.lit(8.0).alias("w"))
     return arrange(t, i, 8.0, passes=1, first_excess=1.5).select("id", r("y", 2), r("x", 2))
+
+
+# Tiles and their boxes
+
+
+@query("""WITH s AS (SELECT DISTINCT image_id, section_no, h, w FROM images), f AS (SELECT section_no, arg_min(struct_pack(h:=h,w:=w), image_id) FILTER (WHERE h IS NOT NULL AND w IS NOT NULL) AS b FROM s GROUP BY section_no)
+SELECT image_id, CASE WHEN h IS NULL OR w IS NULL THEN b.h ELSE h END AS box_h, CASE WHEN h IS NULL OR w IS NULL THEN b.w ELSE w END AS box_w FROM s LEFT JOIN f ON f.section_no IS NOT DISTINCT FROM s.section_no""")
+def mapped_box_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of images, those of the section's first image where they are unknown."""
+    s = load(spark, d, "images").select("image_id", "section_no", "h", "w").distinct()
+    known = F.col("h").isNotNull() & F.col("w").isNotNull()
+    first = s.filter(known).groupBy(F.col("section_no").alias("s")).agg(F.min_by(F.struct("h", "w"), "image_id").alias("b"))
+    j = s.join(first, F.col("section_no").eqNullSafe(F.col("s")), "left")
+    return j.select("image_id", F.when(known, F.col("h")).otherwise(F.col("b.h")).alias("box_h"), F.when(known, F.col("w")).otherwise(F.col("b.w")).alias("box_w"))
+
+
+@query("""SELECT DISTINCT image_id, CASE WHEN abs(h-4080)<=1.1 AND abs(w-4080)<=1.1 THEN 1.0::DOUBLE WHEN abs(h/4080.0::DOUBLE-w/4080.0::DOUBLE)<0.01 THEN round(h/4080.0::DOUBLE,6) END AS scale FROM images WHERE h IS NOT NULL AND w IS NOT NULL""")
+def transform_scale(spark: SparkSession, d: str) -> DataFrame:
+    """Scale of each image relative to a box of 4080 x 4080; null where height and width disagree."""
+    h, w = F.col("h") / 4080.0, F.col("w") / 4080.0
+    same = (F.abs(F.col("h") - 4080) <= 1.1) & (F.abs(F.col("w") - 4080) <= 1.1)
+    return _sizes(spark, d).select(F.col("id").alias("image_id"), F.when(same, 1.0).when(F.abs(h - w) < 0.01, F.round(h, 6)).alias("scale"))
+
+
+@query(f"""WITH {V.TILES}, {V.PAIRS}, c AS (SELECT a, b, i AS k, CASE WHEN i<2 THEN min_y ELSE max_y END AS y, CASE WHEN i%2=0 THEN min_x ELSE max_x END AS x, ay0, ax0 FROM pairs, range(4) t(i)),
+m AS (SELECT a, b, cos(0.1)*(y-ay0-50)+sin(0.1)*(x-ax0-50)+50 AS sy, cos(0.1)*(x-ax0-50)-sin(0.1)*(y-ay0-50)+50 AS sx FROM c) SELECT a, b, round(min(sy),4)+0.0 AS min_y, round(min(sx),4)+0.0 AS min_x, round(max(sy),4)+0.0 AS max_y, round(max(sx),4)+0.0 AS max_x FROM m GROUP BY a, b""")
+def overlap_source_rect(spark: SparkSession, d: str) -> DataFrame:
+    """Where the common rectangle of two tiles lies in the first one's image, which is turned by a tenth about its centre."""
+    p = rect.overlapping_pairs(V.tiles(spark, d), V.CELL)
+    a, common = G.Rect.of("a_"), G.Rect.of("a_").clip(G.Rect.of("b_"))
+    back = [G.similarity_inverse(y, x, F.lit(0.1), F.lit(1.0), F.lit(50.0), F.lit(50.0), a.min_y, a.min_x) for y in (common.min_y, common.max_y) for x in (common.min_x, common.max_x)]
+    ys, xs = [y for y, _ in back], [x for _, x in back]
+    return p.select("a", "b", F.least(*ys).alias("min_y"), F.least(*xs).alias("min_x"), F.greatest(*ys).alias("max_y"), F.greatest(*xs).alias("max_x")).select("a", "b", *[r(s, 4) for s in G.SIDES])
+
+
+@query(f"""WITH {_SIZES}, dims AS (SELECT *, ceil(h/1024.0)::INT AS nr, ceil(w/1024.0)::INT AS nc FROM sizes), g AS (SELECT id, i, j, round_even(i*1024.0::DOUBLE+512-(nr*1024-h)/2.0::DOUBLE,0) AS y, round_even(j*1024.0::DOUBLE+512-(nc*1024-w)/2.0::DOUBLE,0) AS x, h, w FROM dims, unnest(range(nr)) t(i), unnest(range(nc)) u(j)),
+m AS (SELECT id, i::INT AS "row", j::INT AS col, round_even(y*0.5::DOUBLE+100.3,0)::BIGINT AS t_y, round_even(x*0.5::DOUBLE-50.3,0)::BIGINT AS t_x, h, w FROM g) SELECT id, "row", col, t_y, t_x FROM m WHERE t_y>=0 AND t_x>=0 AND t_y<h AND t_x<w""")
+def grid_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Targets of grid points under a transform, those outside the image left out."""
+    s = _sizes(spark, d)
+    g = grids.centred_grid(s, 1024.0).join(s, "id")
+    g = g.select("id", "row", "col", "h", "w", F.bround(F.col("y") * 0.5 + 100.3).cast("bigint").alias("t_y"), F.bround(F.col("x") * 0.5 - 50.3).cast("bigint").alias("t_x"))
+    return g.filter(pixels.in_bounds(F.col("t_y"), F.col("t_x"), F.col("h"), F.col("w"))).drop("h", "w")
+
+
+@query(f"WITH {V.TILES}, {V.PAIRS}, {V.EDGES}, {V.NODES} SELECT a, b, dy, dx, round(weight,6) AS weight FROM edges WHERE a%9<>0 AND b%9<>0")
+def node_removal(spark: SparkSession, d: str) -> DataFrame:
+    n = V.nodes(spark, d)
+    return layout.without_nodes(n, V.edges(spark, d), n.filter("id % 9 = 0"))[1].select("a", "b", "dy", "dx", r("weight"))
+
+
+@query(f"WITH {V.PIXELS} SELECT y, x, round(avg(v),6)+0.0 AS v FROM pixels GROUP BY y, x")
+def combined_image(spark: SparkSession, d: str) -> DataFrame:
+    return pixels.combined(V.pixels(spark, d), F.avg).select("y", "x", r("v"))
+
+
+@query("""SELECT DISTINCT record_id, round(atan2(peak_y+0.0, peak_x+0.0),6)+0.0 AS angle, abs(peak_y-peak_x)<0.01 AS alike FROM alignment_records WHERE isfinite(peak_y) AND isfinite(peak_x) AND (peak_y<>0 OR peak_x<>0)""")
+def arc_angles(spark: SparkSession, d: str) -> DataFrame:
+    """Angle of each peak from the x axis about the origin, and whether its coordinates are alike."""
+    a = load(spark, d, "alignment_records").filter("abs(peak_y) < 1e308 and abs(peak_x) < 1e308 and (peak_y <> 0 or peak_x <> 0)").select("record_id", "peak_y", "peak_x").distinct()
+    z = F.lit(0.0)
+    return a.select("record_id", (F.round(G.arc_angle(z, z, z, F.lit(1.0), F.col("peak_y"), F.col("peak_x")), 6) + 0.0).alias("angle"), (F.abs(F.col("peak_y") - F.col("peak_x")) < 0.01).alias("alike"))
+

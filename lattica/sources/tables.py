@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of the tables that this session wrote to the shared folder.
+_written: list[str] = []
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of a data directory (a Parquet file or folder)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,4 +37,16 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lattica-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Deletes what ``materialize`` has written, once no DataFrame needs it; gives the number of tables."""
+    n = len(_written)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    _written.clear()
+    return n

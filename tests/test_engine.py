@@ -161,3 +161,19 @@ def test_mosaic_and_stos_files(spark, tmp_path):
 def test_small_helpers():
     assert grids.roi_range(-3, 5, 10) == (0, 5) and grids.roi_range(8, 5, 10) == (5, 10) and grids.roi_range(0, 11, 10) is None
     assert grids.constrained_range(8, 5, 10) == (8, 10) and grids.next_power(65) == 128
+
+
+def test_converting_images(spark):
+    df = spark.createDataFrame([("a", 2, 2, 8, [0.0, 255.0, 51.0, 102.0]), ("b", 3, 2, 8, [1.0])], "name string, h int, w int, bpp int, data array<double>")
+    got = {r.name: r for r in kernels.converted(df, 8, flip=True, invert=True).collect()}
+    assert got["a"].data == [204.0, 153.0, 255.0, 0.0] and got["b"].error and got["b"].data is None
+    with pytest.raises(ValueError):
+        kernels.converted(df, 8, levels=(0.5, 0.5))
+
+
+def test_written_tables_can_be_dropped(spark):
+    from lattica.sources.tables import drop_materialized, materialize
+
+    df = materialize(spark.range(5))
+    assert df.count() == 5
+    assert drop_materialized(spark) >= 1 and drop_materialized(spark) == 0
