@@ -189,3 +189,24 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kept daily results: the summaries per group, measure and day of measured_at, ready to be combined."""
     return combine(daily_summaries(spark, sf_dir), [*GROUP, "measure", "day"], EPS_STEP)
+
+
+def p2_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per group and measure the number of values, and whether every percentile's true rank lies within 1 % of the one asked.
+
+    The true ranks are counted over all values: each looks up its group's percentiles, which are one row.
+    """
+    found = p2_percentiles(spark, sf_dir)
+    names = [f"p{p:02d}" for p in PERCENTS]
+    stats = load(spark, sf_dir, "image_stats").select("stat_id", *GROUP, "px_median", "px_std").distinct()
+    pair = lambda m: F.struct(F.lit(m).alias("measure"), F.col(m).alias("v"))
+    values = stats.select(*GROUP, F.explode(F.array(pair("px_median"), pair("px_std"))).alias("m")).select(*GROUP, "m.measure", "m.v").filter(f"v >= 0 and v < {VALUE_LIMIT!r} and not isnan(v)")
+    f = found.select(*[F.col(k).alias(f"f_{k}") for k in [*GROUP, "measure"]], *names)
+    same = [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in [*GROUP, "measure"]]
+    joined = values.join(f, same[0] & same[1] & same[2] & same[3])
+    counted = joined.groupBy(*GROUP, "measure").agg(F.count("*").alias("n"), *[F.count_if(F.col("v") < F.col(n)).alias(f"{n}_less") for n in names], *[F.count_if(F.col("v") <= F.col(n)).alias(f"{n}_upto") for n in names])
+    ok = F.lit(True)
+    for p, n in zip(PERCENTS, names, strict=True):
+        rank = F.greatest(F.ceil(F.col("n") * p / 100), F.lit(1))
+        ok = ok & (F.col(f"{n}_less") + 1 - rank <= F.col("n") * 0.01) & (rank - F.col(f"{n}_upto") <= F.col("n") * 0.01)
+    return counted.select(*GROUP, "measure", "n", ok.alias("within"))

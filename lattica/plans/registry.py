@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "p1_orphans_by_month": orphans.p1_orphans_by_month,
         "p2_percentiles": percentiles.p2_percentiles,
         "p2_daily": percentiles.p2_daily,
+        "p2_rank_check": percentiles.p2_rank_check,
         "p3_found": parsing.p3_found,
         "p3_errors": parsing.p3_errors,
         "p3_transforms": parsing.p3_transforms,

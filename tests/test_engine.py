@@ -177,3 +177,36 @@ def test_written_tables_can_be_dropped(spark):
     df = materialize(spark.range(5))
     assert df.count() == 5
     assert drop_materialized(spark) >= 1 and drop_materialized(spark) == 0
+
+
+def test_windowed_stream(spark, tmp_path):
+    from lattica.streaming.composite import windowed_stats
+
+    rows = spark.createDataFrame([("a", "2021-01-01 10:00:00", 1.0), ("a", "2021-01-01 20:00:00", 3.0), ("b", "2021-01-02 01:00:00", None)], "k string, t string, v double").selectExpr("k", "cast(t as timestamp) t", "v")
+    rows.write.parquet(str(tmp_path / "in"))
+    q = windowed_stats(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "t", "v", "k").writeStream.outputMode("update").format("memory").queryName("win").start()
+    q.processAllAvailable()
+    assert sorted((r.k, r.n, r["mean"]) for r in spark.table("win").collect()) == [("a", 2, 2.0), ("b", 0, None)]
+    q.stop()
+
+
+def test_local_rigid_of_a_turn(spark):
+    a = 0.4
+    src = [(float(y), float(x)) for y in (0, 50, 100) for x in (0, 50, 100)]
+    turn = lambda y, x: (math.cos(a) * y - math.sin(a) * x + 5, math.sin(a) * y + math.cos(a) * x - 3)
+    cp = spark.createDataFrame([(1, i, *turn(*p), *p) for i, p in enumerate(src)], "tf_id int, idx int, t_y double, t_x double, s_y double, s_x double")
+    q = spark.createDataFrame([(1, 0, *turn(40.0, 60.0))], "tf_id int, q int, y double, x double")
+    r = mesh.local_rigid(q, cp).first()
+    assert abs(abs(r.angle) - a) < 1e-6 and abs(r.c_y - 40) < 1e-6 and abs(r.c_x - 60) < 1e-6
+
+
+def test_grids_and_assembling_empty_tables(spark):
+    none = spark.createDataFrame([], "id int, h int, w int")
+    assert grids.edge_grid(none, 10.0).count() == grids.centred_grid(none, 10.0).count() == 0
+    px = spark.createDataFrame([], "image_id int, y int, x int, v double")
+    assert pixels.image_stats(px).count() == pixels.normalised(px).count() == pixels.histogram(px, 4, 0.0, 1.0).count() == 0
+    rects = spark.createDataFrame([], RECTS)
+    assert rectangles.overlapping_pairs(rects, 1.0).count() == 0
+    nodes = spark.createDataFrame([], "id int, y double, x double")
+    edges = spark.createDataFrame([], "a int, b int, dy double, dx double, weight double")
+    assert layout.relax_step(nodes, edges).count() == layout.components(nodes.select("id"), edges).count() == layout.strongest_layout(nodes.select("id"), edges)[0].count() == 0
