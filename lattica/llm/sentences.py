@@ -7,7 +7,7 @@ posteriors of all events of a text come from the forward-backward algorithm; a b
 half. Only gaps that layout decides are fixed beforehand: blank lines, numbered paragraphs and claims, formula lines,
 the inside of quotations and brackets, spaces between Thai words.
 
-The model is trained here without labelled text: events at paragraph ends are known, events after stops are hidden and
+The model is trained here on all documents, without labelled text: events at paragraph ends are known, events after stops are hidden and
 estimated by expectation maximisation, starting from what begins paragraphs and what stands in running text.
 """
 
@@ -17,15 +17,18 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lattica.sources.tables import load
+from lattica.sources.tables import load, materialize
 
-#: Training sample: texts, chosen by hash of doc_id, and the length up to which a text is taken.
+#: Sample of ``training_texts``: texts, chosen by hash of doc_id, and the length up to which a text is taken.
 SAMPLE_TEXTS = 3_000
 SAMPLE_LENGTH = 20_000
 EM_ROUNDS = 6
@@ -64,7 +67,8 @@ _RUN_SET = _STOP_SET - {"|"}
 #: Signs that are nothing but full stops, fixed values.
 _PURE_STOPS = "。！？｡।॥"
 _OPENING = frozenset("\"“„«「『(（")
-_RUNNING = re.compile(rf"[\"“„«「『(（](?=\w)|[^\W\d_{_CJK}]\S*|[{_CJK}]{{2}}|\d+")
+#: A word of running text; its group is what the word's key is made from.
+_RUNNING = re.compile(rf"(?=\w|[\"“„«「『(（]\w)(?=([\"“„«「『(（]?(?:{_WORD.pattern})))(?:[\"“„«「『(（](?=\w)|[^\W\d_{_CJK}]\S*|[{_CJK}]{{2}}|\d+)")
 
 
 def _shape(word: str) -> str:
@@ -400,32 +404,70 @@ def _prior(key: str) -> float:
     return 1.0 if closed else 2.5
 
 
+class Counts(NamedTuple):
+    """N-gram counts of texts: words that begin sentences, words in running text, hidden events, what ends paragraphs.
+
+    ``others`` are words of running text by class, for those that are in no event.
+    """
+
+    begin: Counter[str]
+    running: Counter[str]
+    hidden: Counter[tuple[str, str]]
+    ends: Counter[str]
+    others: Counter[str]
+
+
+def _key(raw: str) -> str:
+    """Key of a word of running text, as ``_right`` gives it at the word's place."""
+    if raw[0] in _OPENING:
+        return raw[0] + _shape(raw[1:])
+    return _DIGITS.sub("9", raw) if len(raw) < 40 else raw[:40]
+
+
+def _tally(text: str, here: list[Gap], counts: Counts) -> None:
+    """Adds a text with its gaps to the counts; words of running text as they stand, see ``_key``."""
+    if text.strip():
+        counts.begin[_right(text, len(text) - len(text.lstrip()))] += 1
+    for g in here:
+        if g.fixed == 1 and g.right and g.kind != "thai":
+            counts.begin[g.right] += 1
+            if g.left:
+                counts.ends[g.left] += 1
+        elif g.fixed is None:
+            counts.hidden[(g.left, g.right)] += 1
+    stops = {g.next for g in here}
+    if all(at == 0 or at >= len(text) or text[at - 1].isspace() for at in stops):
+        # No word reaches over white space: a word starts at a stop's next place, or none does.
+        counts.running.update(_RUNNING.findall(text))
+        counts.running.subtract([m.group(1) for at in stops if (m := _RUNNING.match(text, at))])
+    else:
+        counts.running.update([m.group(1) for m in _RUNNING.finditer(text) if m.start() not in stops])
+
+
+def _keyed(running: Counter[str]) -> Counter[str]:
+    out: Counter[str] = Counter()
+    for raw, n in running.items():
+        if n:
+            out[_key(raw)] += n
+    return out
+
+
 def train(texts: list[str], rounds: int = EM_ROUNDS) -> Model:
     """A model from unlabelled texts."""
-    begin: Counter[str] = Counter()
-    running: Counter[str] = Counter()
-    hidden: Counter[tuple[str, str]] = Counter()
-    ends: Counter[str] = Counter()
+    counts = Counts(Counter(), Counter(), Counter(), Counter(), Counter())
     for text in texts:
-        here = gaps(text)
-        if text.strip():
-            begin[_right(text, len(text) - len(text.lstrip()))] += 1
-        stops = {g.next for g in here}
-        for g in here:
-            if g.fixed == 1 and g.right and g.kind != "thai":
-                begin[g.right] += 1
-                if g.left:
-                    ends[g.left] += 1
-            elif g.fixed is None:
-                hidden[(g.left, g.right)] += 1
-        for m in _RUNNING.finditer(text):
-            if m.start() not in stops:
-                running[_right(text, m.start())] += 1
+        _tally(text, gaps(text), counts)
+    return fit(counts._replace(running=_keyed(counts.running)), rounds)
+
+
+def fit(counts: Counts, rounds: int = EM_ROUNDS) -> Model:
+    """A model from counts, by expectation maximisation."""
+    begin, running, hidden, ends, others = counts
     model = Model()
     keys = {r for _, r in hidden} | set(begin)
     post: dict[tuple[str, str], float] = {}
     # Running text is far more than what follows stops: it weighs as much as what begins sentences.
-    scale = min(1.0, (sum(begin.values()) + sum(hidden.values()) / 2) / max(sum(running.values()), 1))
+    scale = min(1.0, (sum(begin.values()) + sum(hidden.values()) / 2) / max(sum(running.values()) + sum(others.values()), 1))
     for step in range(rounds + 1):
         first, mid = Counter({k: float(v) for k, v in begin.items()}), Counter({k: v * scale for k, v in running.items()})
         yes: dict[str, float] = defaultdict(float)
@@ -442,11 +484,13 @@ def train(texts: list[str], rounds: int = EM_ROUNDS) -> Model:
             if left[:1] != "\n":
                 yes[left] += n
         # Words to the right: relative frequency after events against that in running text, classes for rare ones.
-        total_first, total_mid = sum(first.values()), sum(mid.values())
+        total_first, total_mid = sum(first.values()), sum(mid.values()) + sum(others.values()) * scale
         class_first, class_mid = Counter(), Counter()
         for k in keys | set(running):
             class_first[_shape(k)] += first[k]
             class_mid[_shape(k)] += mid[k]
+        for c, n in others.items():
+            class_mid[c] += n * scale
         model.right_class = {s: math.log((class_first[s] + 0.5) / (total_first + 1)) - math.log((class_mid[s] + 0.5) / (total_mid + 1)) for s in {*class_first, *class_mid}}
         model.right = {}
         for k in keys:
@@ -517,6 +561,122 @@ def sentences(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, start_pos int, end_pos int")
 
 
+#: Rows of ``scanned``: the gaps of a document (``kind`` null), or a count of a part of the documents.
+SCANNED = "doc_id bigint, at int, ends array<int>, nexts array<int>, fixed array<tinyint>, near array<boolean>, pairs array<string>, kind int, left string, right string, n bigint"
+BEGIN, ENDS, HIDDEN, RUNNING = range(4)
+#: Keys that a task holds before it passes their counts on.
+HELD_KEYS = 200_000
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """One pass over all documents (doc_id, text), whole: the gaps of each and the n-gram counts of all, as rows of ``SCANNED``.
+
+    Of a hidden event ``pairs`` holds its left and right key with a unit separator between; no right key has one.
+    """
+    kinds = to_arrow_schema(T.StructType.fromDDL(SCANNED))
+    names = ["doc_id", "at", "ends", "nexts", "fixed", "near", "pairs"], ["kind", "left", "right", "n"]
+
+    def table(columns: dict[str, list]) -> list[pa.RecordBatch]:
+        size = len(next(iter(columns.values())))
+        arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in kinds]
+        return [pa.RecordBatch.from_arrays(arrays, schema=kinds)] if size else []
+
+    def passed(counts: Counts) -> list[pa.RecordBatch]:
+        rows = [(BEGIN, None, k, n) for k, n in counts.begin.items()] + [(ENDS, k, None, n) for k, n in counts.ends.items()]
+        rows += [(HIDDEN, a, b, n) for (a, b), n in counts.hidden.items()] + [(RUNNING, _shape(k), k, n) for k, n in _keyed(counts.running).items()]
+        for c in counts:
+            c.clear()
+        return table(dict(zip(names[1], map(list, zip(*rows, strict=True)), strict=True))) if rows else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(Counter(), Counter(), Counter(), Counter(), Counter())
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                rows = []
+                for doc, text in zip(batch.column(0).slice(low, 512).to_pylist(), batch.column(1).slice(low, 512).to_pylist(), strict=True):
+                    if not text or text.isspace():
+                        continue
+                    here = gaps(text)
+                    _tally(text, here, counts)
+                    rows.append((doc, len(text) - len(text.lstrip()), [g.end for g in here], [g.next for g in here], [-1 if g.fixed is None else g.fixed for g in here], [g.near for g in here], [f"{g.left}\x1f{g.right}" if g.fixed is None else "" for g in here]))
+                    if sum(map(len, counts)) > HELD_KEYS:
+                        yield from passed(counts)
+                if rows:
+                    yield from table(dict(zip(names[0], map(list, zip(*rows, strict=True)), strict=True)))
+        yield from passed(counts)
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCANNED)
+
+
+def corpus_counts(scan: DataFrame) -> Counts:
+    """The counts of all documents. Words of running text that are in no event reach the driver by class only."""
+    rows = scan.filter("kind is not null").groupBy("kind", "left", "right").agg(F.sum("n").alias("n"))
+    begin, running, hidden, ends, others = Counts(Counter(), Counter(), Counter(), Counter(), Counter())
+    for r in sorted(rows.filter(F.col("kind").isin(ENDS, HIDDEN)).collect(), key=lambda r: (r.kind, r.left, r.right or "")):
+        if r.kind == ENDS:
+            ends[r.left] = r.n
+        else:
+            hidden[(r.left, r.right)] = r.n
+    known = F.count_if(F.col("kind") != RUNNING) > 0
+    words = rows.filter(F.col("kind") != ENDS).groupBy("right").agg(
+        F.when(~known, F.max(F.when(F.col("kind") == RUNNING, F.col("left")))).alias("shape"),
+        F.coalesce(F.sum(F.when(F.col("kind") == BEGIN, F.col("n"))), F.lit(0)).alias("b"), F.coalesce(F.sum(F.when(F.col("kind") == RUNNING, F.col("n"))), F.lit(0)).alias("r"),
+    )
+    words = words.groupBy("shape", F.when(F.col("shape").isNull(), F.col("right")).alias("word")).agg(F.sum("b").alias("b"), F.sum("r").alias("r"))
+    for r in sorted(words.collect(), key=lambda r: (r.shape or "", r.word or "")):
+        if r.shape is not None:
+            others[r.shape] = r.r
+            continue
+        if r.b:
+            begin[r.word] = r.b
+        if r.r:
+            running[r.word] = r.r
+    return Counts(begin, running, hidden, ends, others)
+
+
+def scanned_sentences(scan: DataFrame, model: Model) -> DataFrame:
+    """``sentences`` from the gaps that ``scanned`` found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends, nexts, fixed, near, pairs = (batch.column(k).flatten() for k in range(2, 7))
+            ends, nexts, near = ends.to_numpy(), nexts.to_numpy(), near.to_numpy(zero_copy_only=False)
+            own = pairs.dictionary_encode()
+            odds = np.array([model.pair_odds(*p.rsplit("\x1f", 1)) if p else 0.0 for p in own.dictionary.to_pylist()] or [0.0])[own.indices.to_numpy()]
+            fixed = fixed.to_numpy()
+            odds = np.where(fixed == 1, 40.0, np.where(fixed == 0, -40.0, odds))
+            post = 1 / (1 + np.exp(-np.clip(odds, -40.0, 40.0)))
+            size = np.array([len(x) for x in batch.column(2)], np.int64)
+            low = np.concatenate([[0], np.cumsum(size)])
+            first = ~near
+            first[low[:-1]] = True
+            heads = np.flatnonzero(first)
+            tails = np.append(heads[1:], len(first))
+            for i, j in zip(heads[tails - heads > 1].tolist(), tails[tails - heads > 1].tolist(), strict=True):
+                out = [0.0] * (j - i)
+                model._chain(odds[i:j].tolist(), 0, j - i, out)
+                post[i:j] = out
+            chosen = np.flatnonzero(post > 0.5)
+            parts = np.searchsorted(chosen, low)
+            e, x = ends[chosen].tolist(), nexts[chosen].tolist()
+            count, starts, stops = [], [], []
+            for d, at in enumerate(batch.column(1).to_pylist()):
+                before = len(starts)
+                for k in range(parts[d], parts[d + 1]):
+                    if e[k] > at:
+                        starts.append(at)
+                        stops.append(e[k])
+                        at = x[k]
+                count.append(len(starts) - before)
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], ["doc_id", "start_pos", "end_pos"])
+
+    found = scan.filter("kind is null").select("doc_id", "at", "ends", "nexts", "fixed", "near", "pairs")
+    return found.mapInArrow(run, "doc_id bigint, start_pos int, end_pos int")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentences(docs, train(training_texts(docs)))
+    scan = materialize(scanned(load(spark, sf_dir, "documents").select("doc_id", "text")))
+    return scanned_sentences(scan, fit(corpus_counts(scan)))

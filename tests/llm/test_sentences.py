@@ -102,3 +102,17 @@ def test_on_a_table(spark, model):
     assert sorted(tuple(r) for r in S.sentences(docs, model).collect()) == [(1, 0, 16), (1, 0, 16), (1, 17, 32), (1, 17, 32)]
     assert S.training_texts(docs) == ["The unit is new. A rotor is old."] * 2
     assert S.sentences(docs.limit(0), S.train([])).count() == 0
+
+
+def test_counts_are_those_of_all_documents_whole(spark, tmp_path):
+    texts = corpus(40)[0] + ["The zorb. A rotor. " * 1_500, "结果令人惊讶！“停！内有”字样出现。(see note) no. 5A.The film" * 3, "", " \n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    scan = S.scanned(docs)
+    counts = S.corpus_counts(scan)
+    assert counts.hidden[(".zorb", "A")] == 1_500 and ".zorb" in S.fit(counts).left
+    whole, here = S.train(texts), S.fit(counts)
+    assert here.left == pytest.approx(whole.left) and here.right == pytest.approx(whole.right) and here.right_class == pytest.approx(whole.right_class)
+    want = sorted((d, a, b) for d, t in enumerate(texts) for a, b in zip(*S.split(t, whole), strict=True))
+    assert sorted(tuple(r) for r in S.p8_found(spark, str(tmp_path)).collect()) == want
+    assert S.scanned_sentences(S.scanned(docs.limit(0)), here).count() == 0 and S.corpus_counts(S.scanned(docs.limit(0))) == ({},) * 5
