@@ -32,8 +32,6 @@ from lattica.sources.tables import load, materialize
 SAMPLE_TEXTS = 3_000
 SAMPLE_LENGTH = 20_000
 EM_ROUNDS = 6
-#: Characters of a quotation or bracket at most.
-SPAN = 300
 
 #: Words whose stop mostly is part of the word, fixed values: a prior for the model's counts.
 ABBREVIATIONS = frozenset(
@@ -52,8 +50,9 @@ _CLOSERS = "\"”“’»›」』）)\\]】］》"
 _HIT = re.compile(r"[.．!?。！？｡।॥…|\n]")
 _HIT_THAI = re.compile(rf"[.．!?。！？｡।॥…|\n]|(?<=[{_THAI}])[^\S\n]+(?=[{_THAI}])")
 _THAI_SIGN = re.compile(f"[{_THAI}]")
-_PAIRED = re.compile(r"[\"“„«「『(（]")
-_SPAN = re.compile(rf"\"[^\"]{{1,{SPAN}}}\"|“[^“”]{{1,{SPAN}}}”|„[^“”„]{{1,{SPAN}}}[“”]|«[^«»]{{1,{SPAN}}}»|「[^「」]{{1,{SPAN}}}」|『[^『』]{{1,{SPAN}}}』|\([^()]{{1,{SPAN}}}\)|（[^（）]{{1,{SPAN}}}）")
+_PAIRED = re.compile(r"\n\n|[\"“”„«»「」『』()（）]")
+#: What opens a span that a sign closes, fixed values.
+_OPENERS = {"”": "“„", "»": "«", "」": "「", "』": "『", ")": "(", "）": "（"}
 _MARK = re.compile(r"(?:\[\s*\d{2,6}\s*\]|【\s*(?:\d+|[^】\n]{0,4}請求項[^】\n]{0,8}|[^】\n]{1,30})\s*】|(\d{1,4})\s*[.．)、](?!\d))")
 _NUMBERED = re.compile(r"[【\[][^】\]\n]*[\d０-９]+\s*[】\]]$")
 _HEADING = re.compile(r"【[^】\n]*[^】\d０-９\n][】]$")
@@ -111,11 +110,56 @@ class Gap:
         self.end, self.next, self.fixed, self.left, self.right, self.near, self.kind = end, nxt, fixed, left, right, near, kind
 
 
+def _spans(text: str) -> tuple[list[tuple[int, int]], set[int]]:
+    """The outermost quotations and brackets of a text in order, and the ends of all. Signs pair within a paragraph, however long.
+
+    Signs nest; one left open is dropped when a span around it closes. A straight quote opens or closes by what touches it,
+    and where that leaves it open, closes the one before, if any.
+    """
+    spans: list[tuple[int, int]] = []
+    closes: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    held: Counter[str] = Counter()
+    for m in _PAIRED.finditer(text):
+        sign, at = m.group(), m.start()
+        if sign == "\n\n":
+            stack.clear()
+            held.clear()
+            continue
+        if sign == '"':
+            before, after = text[at - 1 : at] if at else " ", text[at + 1 : at + 2] or " "
+            opens, shuts = not (after.isspace() or after in ",.;:!?。，、！？" or after in _CLOSE_SET - {'"'}), not (before.isspace() or before in _OPENING - {'"'})
+            if opens and not shuts:
+                close = ""
+                if stack and stack[-1][0] == '"':
+                    held[stack.pop()[0]] -= 1
+            else:
+                close = '"'
+                if not held['"'] and shuts and not opens:
+                    continue
+        else:
+            close = "„" if sign == "“" else _OPENERS.get(sign, "")
+        if any(held[c] for c in close):
+            while True:
+                c, start = stack.pop()
+                held[c] -= 1
+                if c in close:
+                    break
+            closes.add(at + 1)
+            while spans and spans[-1][0] > start:
+                spans.pop()
+            spans.append((start, at + 1))
+        elif sign not in _OPENERS:
+            stack.append((sign, at))
+            held[sign] += 1
+    return spans, closes
+
+
 def gaps(text: str) -> list[Gap]:
     """All candidate gaps of a text in order. ``fixed`` is 1 or 0 where layout decides, else None."""
     n = len(text)
     out: list[Gap] = []
-    spans = [m.span() for m in _SPAN.finditer(text) if "\n\n" not in m.group()] if _PAIRED.search(text) else []
+    spans, closes = _spans(text)
     k, at, last_claim = 0, 0, 0
     first_break = text.find("\n", n - len(text.lstrip()))
     thai_doc = _THAI_SIGN.search(text) is not None
@@ -150,7 +194,7 @@ def gaps(text: str) -> list[Gap]:
         if kind == "stop":
             while end < n and text[end] in _TAIL_SET:
                 # A closing mark belongs to the sentence, an opening one (the same sign in some languages) does not.
-                if text[end] in '"“' and not any(s[1] == end + 1 for s in spans[k : k + 4]):
+                if text[end] in '"“' and end + 1 not in closes:
                     break
                 end += 1
         j = k

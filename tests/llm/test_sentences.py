@@ -116,3 +116,12 @@ def test_counts_are_those_of_all_documents_whole(spark, tmp_path):
     want = sorted((d, a, b) for d, t in enumerate(texts) for a, b in zip(*S.split(t, whole), strict=True))
     assert sorted(tuple(r) for r in S.p8_found(spark, str(tmp_path)).collect()) == want
     assert S.scanned_sentences(S.scanned(docs.limit(0)), here).count() == 0 and S.corpus_counts(S.scanned(docs.limit(0))) == ({},) * 5
+
+
+def test_long_quotations_and_brackets(model):
+    inner = "The unit is new. " * 40
+    for a, z in ('""', "“”", "„“", "«»", "()"):
+        first, second = f"The text {a}{inner.strip()}{z} is old.", f"The word {a}unit{z} is old."
+        assert cut(f"{first} The film is thin. {second}", model) == [first, "The film is thin.", second]
+    assert cut('A 5" pipe is new. The film (see (a) and "b. The". The rotor is old.\n\nA film) is thin.', model) == ['A 5" pipe is new.', 'The film (see (a) and "b. The".', "The rotor is old.", "A film) is thin."]
+    assert len(cut("(" * 100_000 + "The unit is new. " * 10 + ")" * 100_000, model)) == 1
