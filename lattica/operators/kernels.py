@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,10 +60,13 @@ def labelled(mask: np.ndarray) -> tuple[np.ndarray, int]:
     return np.where(mask, np.searchsorted(ids, label) + 1, 0), len(ids)
 
 
-def find_peak(image: np.ndarray, mask: np.ndarray | None = None, percent: float = 99.5) -> tuple[float, float, float]:
-    """Offset (y, x) of the heaviest bright part's centre of mass from the image's centre, and its weight relative to the mean part."""
+def find_peak(image: np.ndarray, mask: np.ndarray | None = None, percent: float = 99.5, relative: bool = True) -> tuple[float, float, float]:
+    """Offset (y, x) of the heaviest bright part's centre of mass from the image's centre, and its weight relative to the mean part.
+
+    Not ``relative``, the weight is the part's sum and the percentile that of the pixels in the mask.
+    """
     v = image if mask is None else np.where(mask, image, 0.0)
-    v = np.where(v >= np.percentile(v, percent), v, 0.0)
+    v = np.where(v >= np.percentile(v if relative or mask is None else image[mask], percent), v, 0.0)
     label, n = labelled(v > 0)
     if not n:
         return 0.0, 0.0, 0.0
@@ -71,7 +75,7 @@ def find_peak(image: np.ndarray, mask: np.ndarray | None = None, percent: float
     y, x = np.nonzero(label == best)
     w = v[y, x]
     cy, cx = (y * w).sum() / w.sum(), (x * w).sum() / w.sum()
-    return image.shape[0] / 2 - cy, image.shape[1] / 2 - cx, float(sums[best] / sums[1:].mean())
+    return image.shape[0] / 2 - cy, image.shape[1] / 2 - cx, float(sums[best] / sums[1:].mean() if relative else sums[best])
 
 
 def overlap_mask(fixed: tuple[int, int], moving: tuple[int, int], shape: tuple[int, int], lo: float, hi: float) -> np.ndarray | None:
@@ -143,12 +147,13 @@ def feature_score(image: np.ndarray, cell: int = 64) -> float:
 
 
 def rotated(image: np.ndarray, degrees: float) -> np.ndarray:
-    """Image turned about its centre, bilinear; NaN where it comes from outside."""
+    """Image turned about its centre, bilinear, grown so that nothing of it is cut off; NaN where it comes from outside."""
     h, w = image.shape
     a = np.deg2rad(degrees)
-    y, x = np.mgrid[0:h, 0:w].astype(float)
-    y, x = y - (h - 1) / 2, x - (w - 1) / 2
-    return sampled(image, np.cos(a) * y - np.sin(a) * x + (h - 1) / 2, np.sin(a) * y + np.cos(a) * x + (w - 1) / 2)
+    c, s = np.cos(a), np.sin(a)
+    height, width = int(abs(c) * h + abs(s) * w + 0.5), int(abs(s) * h + abs(c) * w + 0.5)
+    y, x = np.arange(height)[:, None] - (height - 1) / 2, np.arange(width)[None] - (width - 1) / 2
+    return sampled(image, c * y + s * x + (h - 1) / 2, c * x - s * y + (w - 1) / 2)
 
 
 def sampled(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -171,11 +176,27 @@ def resized(image: np.ndarray, scale: float) -> np.ndarray:
     return sampled(image, y, x)
 
 
-def score_angle(fixed: np.ndarray, moving: np.ndarray, degrees: float, seed: int = 0) -> tuple[float, float, float]:
-    """Offset and weight with ``moving`` turned first; what the turn uncovers becomes noise."""
-    turned = rotated(moving, degrees)
-    fill = noise(turned.shape, float(np.median(moving)), float(moving.std()), float(moving.min()), float(moving.max()), seed)
-    return find_offset(fixed, np.where(np.isnan(turned), fill, turned))
+def padded_size(n: int, least_overlap: float) -> int:
+    """Size that a dimension is padded to for a least overlap: the next power of two; from one half on an image needs no room beside it."""
+    return 1 << math.ceil(math.log2(n if least_overlap >= 0.5 else n + n * (1 - (least_overlap + 0.5)) * 2))
+
+
+def score_angle(fixed: np.ndarray, moving: np.ndarray, degrees: float, seed: int = 0, least_overlap: float = 0.75) -> tuple[float, float, float]:
+    """Offset and weight with ``moving`` turned first; what the turn uncovers becomes noise, and so does the padding of both images.
+
+    Only shifts count at which the images share ``least_overlap`` or more of what they can share.
+    """
+    turned = moving if degrees == 0 else rotated(moving, degrees)
+    size = [padded_size(max(f, m), least_overlap) for f, m in zip(fixed.shape, turned.shape, strict=True)]
+    y, x = ((n - m) // 2 for n, m in zip(size, turned.shape, strict=True))
+    canvas = noise(tuple(size), float(np.median(moving)), float(moving.std()), float(moving.min()), float(moving.max()), 2 * seed)
+    part = canvas[y : y + turned.shape[0], x : x + turned.shape[1]]
+    part[...] = np.where(np.isnan(turned), part, turned)
+    c = np.fft.fftshift(phase_correlation(padded(fixed, *size, 2 * seed + 1), canvas))
+    c -= c.min()
+    if c.max() > 0:
+        c /= c.max()
+    return find_peak(c, overlap_mask(fixed.shape, moving.shape, c.shape, least_overlap, 1.0), relative=False)
 
 
 def _image(row: dict, name: str = "data") -> np.ndarray:
@@ -199,17 +220,44 @@ def feature_scores(images: DataFrame, cell: int) -> DataFrame:
     return rows_to(images.select("image_id", "h", "w", "data"), "image_id bigint, score double", lambda r: {"image_id": r["image_id"], "score": feature_score(_image(r), cell)})
 
 
-def angle_search(pairs: DataFrame, angles: list[float]) -> DataFrame:
-    """Best angle of each image pair: every angle is a row of its own, so a search spreads over tasks; ties go to the lower angle."""
-    rows = pairs.withColumn("angle", F.explode(F.array(*[F.lit(float(a)) for a in angles])))
+#: Angles of the first pass, those of the second from the best one, and how many a row holds.
+ANGLES = [float(a) for a in range(-180, 180, 2)]
+FINER = [round(k * 0.1 - 1, 1) for k in range(20)]
+ANGLES_EACH = 30
 
-    def kernel(r: dict) -> dict:
-        dy, dx, weight = score_angle(_image(r, "fixed"), _image(r, "moving"), r["angle"], r["a"])
-        return {"a": r["a"], "b": r["b"], "angle": r["angle"], "dy": dy, "dx": dx, "weight": weight}
 
-    scored = rows_to(rows, "a bigint, b bigint, angle double, dy double, dx double, weight double", kernel)
-    best = scored.groupBy("a", "b").agg(F.max_by(F.struct("angle", "dy", "dx", "weight"), F.struct("weight", (-F.col("angle")).alias("o"))).alias("r"))
-    return best.select("a", "b", "r.angle", "r.dy", "r.dx", "r.weight")
+def angle_search(pairs: DataFrame, angles: list[float] | None = None, least_overlap: float = 0.75) -> DataFrame:
+    """Best angle of each image pair, plain or with ``moving`` flipped top to bottom first: (a, b, angle, flipped, dy, dx, weight).
+
+    By default all angles of ``ANGLES`` are tried either way, then those of ``FINER`` about the best; given ``angles`` are
+    tried alone. Flipped counts only if strictly heavier; ties go to the lower angle. A row has ``ANGLES_EACH`` angles of a
+    pair, so a search spreads over tasks. Extrema become noise first; a solid image gives weight 0.
+    """
+    schema = "a bigint, b bigint, angle double, flipped boolean, dy double, dx double, weight double"
+
+    def kernel(r: dict) -> dict:
+        f, m = _image(r, "fixed"), _image(r, "moving")
+        if f.min() == f.max() or m.min() == m.max():
+            return {"a": r["a"], "b": r["b"], "angle": float(min(r["angles"])), "flipped": r["flipped"], "dy": 0.0, "dx": 0.0, "weight": 0.0}
+        f, m = extrema_with_noise(f, 2 * r["a"] + 1), extrema_with_noise(m, 2 * r["a"])
+        m = m[::-1] if r["flipped"] else m
+        found = [(*score_angle(f, m, float(a), r["a"], least_overlap), float(a)) for a in r["angles"]]
+        dy, dx, weight, angle = max(found, key=lambda x: (x[2], -x[3]))
+        return {"a": r["a"], "b": r["b"], "angle": angle, "flipped": r["flipped"], "dy": dy, "dx": dx, "weight": weight}
+
+    def best(rows: DataFrame) -> DataFrame:
+        order = F.struct("weight", (~F.col("flipped")).alias("plain"), (-F.col("angle")).alias("o"))
+        scored = rows_to(rows.select("a", "b", "h", "w", "fixed", "moving", "flipped", "angles"), schema, kernel)
+        return scored.groupBy("a", "b").agg(F.max_by(F.struct("angle", "flipped", "dy", "dx", "weight"), order).alias("r")).select("a", "b", "r.*")
+
+    tried = [float(a) for a in (ANGLES if angles is None else angles)]
+    parts = [F.array(*map(F.lit, tried[k : k + ANGLES_EACH])) for k in range(0, len(tried), ANGLES_EACH)]
+    rows = pairs.withColumn("flipped", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("angles", F.explode(F.array(*parts)))
+    first = best(rows.repartition("a", "b", "flipped", F.get("angles", F.lit(0))))
+    if angles is not None:
+        return first
+    about = first.select("a", "b", "flipped", F.transform(F.array(*map(F.lit, FINER)), lambda x: F.round(x + F.col("angle"), 1)).alias("angles"))
+    return best(pairs.join(about, ["a", "b"]))
 
 
 def converted(images: DataFrame, bits: int, flip: bool = False, flop: bool = False, invert: bool = False, levels: tuple[float, float] | None = None, gamma: float = 1.0, scale: float = 1.0) -> DataFrame:

@@ -635,7 +635,7 @@ def feature_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def angle_search(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.angle_search(_image_pairs(spark, d), [-20.0, -10.0, 0.0, 10.0, 20.0]).select("a", "b", "angle", r("dy", 4), r("dx", 4), r("weight", 4))
+    return kernels.angle_search(_image_pairs(spark, d)).select("a", "b", "angle", "flipped", r("dy", 4), r("dx", 4), r("weight", 4))
 
 
 def _queries_and_points(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
