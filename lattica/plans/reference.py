@@ -316,7 +316,7 @@ def relax_k3(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def relax_converged(spark: SparkSession, d: str) -> DataFrame:
-    return layout.relax(V.nodes(spark, d), V.edges(spark, d), cutoff=0.5, most=10).select("id", r("y", 3), r("x", 3))
+    return layout.relax(V.nodes(spark, d), V.edges(spark, d)).select("id", r("y", 3), r("x", 3))
 
 
 @query(f"""WITH RECURSIVE {V.TILES}, {V.PAIRS}, w AS (SELECT a, b FROM pairs WHERE (max_y-min_y)*(max_x-min_x) > 1900), both_ AS (SELECT a, b FROM w UNION SELECT b, a FROM w),
