@@ -84,8 +84,9 @@ def mosaic_name_fields(path: Column) -> dict[str, Column]:
 
 
 def compressed_numbers(text: Column) -> Column:
-    """A transform's numbers in their shortest form: whole ones without a point, others without trailing zeros."""
-    short = lambda x: F.when(x.rlike(r"^-?\d+\.\d+$"), F.regexp_replace(F.regexp_replace(x, r"(\.\d*?)0+$", "$1"), r"\.$", "")).otherwise(x)
+    """A transform's numbers in their shortest form: whole ones without a point, others without trailing zeros; exponents stay."""
+    number = r"^[+-]?\d+\.\d+([eE][+-]?\d+)?$"
+    short = lambda x: F.when(x.rlike(number), F.regexp_replace(F.regexp_replace(x, r"(\.\d*?)0+($|[eE])", "$1$2"), r"\.($|[eE])", "$1")).otherwise(x)
     return F.array_join(F.transform(F.split(text, r"\s+"), short), " ")
 
 

@@ -575,6 +575,16 @@ def compressed_numbers(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "stos_files").select("stos_id").distinct().select("stos_id", records.compressed_numbers(F.lit("1.500 2.000 3.25 -0.10 7")).alias("text"))
 
 
+@query(rf"""WITH {_ENTRY}, u AS (SELECT 'mosaic_tiles' AS source_table, entry_id AS record_id, transform AS t FROM entries UNION SELECT 'stos_files', stos_id, transform_str FROM stos_files)
+SELECT source_table, record_id, array_to_string(list_transform(string_split_regex(t, '\s+'), lambda x: CASE WHEN regexp_full_match(x, '[+-]?\d+\.\d+([eE][+-]?\d+)?') THEN regexp_replace(regexp_replace(x, '(\.\d*?)0+($|[eE])', '\1\2'), '\.($|[eE])', '\1') ELSE x END), ' ') AS text FROM u""")
+def compressed_transforms(spark: SparkSession, d: str) -> DataFrame:
+    """The transforms of mosaics and slice-to-slice files with their numbers in shortest form."""
+    t = F.trim(F.regexp_replace(entry_transform(F.col("image_to_transform")), r"\r\n|\r", "\n"), F.lit(" \t\n"))
+    m = load(spark, d, "mosaic_tiles").select(F.lit("mosaic_tiles").alias("source_table"), F.col("entry_id").alias("record_id"), t.alias("t"))
+    s = load(spark, d, "stos_files").select(F.lit("stos_files").alias("source_table"), F.col("stos_id").alias("record_id"), F.col("transform_str").alias("t"))
+    return m.unionByName(s).distinct().select("source_table", "record_id", records.compressed_numbers(F.col("t")).alias("text"))
+
+
 @query("""WITH s AS (SELECT DISTINCT image_id, h FROM images WHERE h>0) SELECT image_id, pow(2,ceil(log2(h))) AS p2, CASE WHEN 0.2>=0.5 THEN h ELSE round(h+h*(1-(0.2+0.5))*2,6)::DOUBLE END::DOUBLE AS padded FROM s""")
 def power_of_two(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("h").cast("double")
