@@ -6,7 +6,9 @@ each byte, and everything else is array arithmetic on the places where the state
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -157,13 +159,25 @@ def parse_transforms(texts: pa.Array) -> dict[str, pa.Array]:
     }
 
 
-def tokenize_records(texts: pa.Array) -> dict[str, pa.Array]:
-    """Columns ``fields`` (array of strings) and ``broken_at`` of a batch of comma-separated records.
+class _Columns(NamedTuple):
+    """Comma-separated records of a batch: its bytes, each record's columns and where a quote is out of place."""
 
-    A carriage return at a record's end is no part of it. Quotes around a column are dropped and doubled ones halved. Where
-    a quote stands elsewhere or is not closed, ``fields`` is null and ``broken_at`` the byte offset of the offence (of
-    the opening quote, if unclosed). A null or empty record has one empty column.
-    """
+    data: np.ndarray
+    offsets: np.ndarray
+    #: Per column: start and end with its quotes, text without them, and its first byte among the kept ones.
+    start: np.ndarray
+    end: np.ndarray
+    text: pa.Array
+    kept_from: np.ndarray
+    #: Places of the bytes that the texts keep.
+    kept: np.ndarray
+    #: Per record: number of columns, its first column, offset of the first misplaced quote or -1.
+    count: np.ndarray
+    first: np.ndarray
+    broken_at: np.ndarray
+
+
+def _columns(texts: pa.Array) -> _Columns:
     texts = pc.replace_substring_regex(pc.fill_null(texts, ""), r"\r?\n?\z", "")
     n = len(texts)
     data, offsets = _buffer(texts)
@@ -184,39 +198,30 @@ def tokenize_records(texts: pa.Array) -> dict[str, pa.Array]:
     place[row[opened]] = opened
     place[~open_end] = -1
     place[row[broke]] = broke
-    good = ~(broken | open_end)
     cuts = np.flatnonzero(comma)
     start = np.sort(np.concatenate([offsets[:-1], cuts + 1]), kind="stable")
     end = np.sort(np.concatenate([offsets[1:], cuts]), kind="stable")
-    columns = np.bincount(row[cuts], minlength=n) + 1
-    fields = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(columns)]).astype(np.int64)), _slices(data, start, end, drop), mask=pa.array(~good))
-    return {"fields": fields.cast(pa.list_(pa.string())), "broken_at": pa.array((place - offsets[:-1]).astype(np.int32), pa.int32(), mask=good)}
-
-
-def _mapped(df: DataFrame, text: str, parse, columns: list[T.StructField]) -> DataFrame:
-    """``df`` without ``text`` and with the columns that ``parse`` makes of it, batch by batch."""
-    kept = [f for f in df.schema.fields if f.name != text]
-    names = [f.name for f in kept]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = parse(batch.column(batch.schema.get_field_index(text)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *made.values()], [*names, *made])
+    count = np.bincount(row[cuts], minlength=n) + 1
+    keep = ~drop
+    keep[cuts] = False
+    kept_before = np.concatenate([[0], np.cumsum(keep)])
+    return _Columns(data, offsets, start, end, _slices(data, start, end, drop), kept_before[start], np.flatnonzero(keep), count, np.cumsum(count) - count, np.where(broken | open_end, place - offsets[:-1], -1))
 
-    return df.mapInArrow(run, T.StructType([*kept, *columns]))
 
+def _fields(c: _Columns) -> pa.Array:
+    fields = pa.LargeListArray.from_arrays(pa.array(np.append(c.first, len(c.start)).astype(np.int64)), c.text, mask=pa.array(c.broken_at >= 0))
+    return fields.cast(pa.list_(pa.string()))
 
-_DOUBLES = T.ArrayType(T.DoubleType())
-
-
-def with_transforms(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with the column ``text`` replaced by transform_type, vp, fp, reason and reason_offset (``parse_transforms``)."""
-    return _mapped(df, text, parse_transforms, [T.StructField("transform_type", T.StringType()), T.StructField("vp", _DOUBLES), T.StructField("fp", _DOUBLES), T.StructField("reason", T.StringType()), T.StructField("reason_offset", T.IntegerType())])
 
+def tokenize_records(texts: pa.Array) -> dict[str, pa.Array]:
+    """Columns ``fields`` (array of strings) and ``broken_at`` of a batch of comma-separated records.
 
-def with_fields(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with the column ``text`` replaced by fields and broken_at (``tokenize_records``)."""
-    return _mapped(df, text, tokenize_records, [T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("broken_at", T.IntegerType())])
+    A carriage return at a record's end is no part of it. Quotes around a column are dropped and doubled ones halved. Where
+    a quote stands elsewhere or is not closed, ``fields`` is null and ``broken_at`` the byte offset of the offence (of
+    the opening quote, if unclosed). A null or empty record has one empty column.
+    """
+    c = _columns(texts)
+    return {"fields": _fields(c), "broken_at": pa.array(c.broken_at.astype(np.int32), pa.int32(), mask=c.broken_at < 0)}
 
 
 #: Columns of a record by kind, fixed values.
@@ -224,60 +229,145 @@ RECORD_COLUMNS = {
     "stos": ["kind", "id", "control_image", "mapped_image", "downsample", "width_height", "transform", "remark"],
     "mosaic": ["kind", "id", "image", "transform", "remark"],
 }
-_WHOLE = r"^\s*\+?0*[1-9][0-9]*\s*$"
-_TWO_WHOLE = r"^\s*\+?0*[1-9][0-9]*\s+\+?0*[1-9][0-9]*\s*$"
+_BLANK = r"[ \t\n\v\f\r]"
+_WHOLE = rf"^{_BLANK}*\+?0*[1-9][0-9]*{_BLANK}*$"
+_TWO_WHOLE = rf"^{_BLANK}*\+?0*[1-9][0-9]*{_BLANK}+\+?0*[1-9][0-9]*{_BLANK}*$"
+
+
+def parse_records(texts: pa.Array) -> dict[str, pa.Array]:
+    """Columns fields, transform_type, vp, fp, reason, reason_offset of a batch of raw records.
+
+    A valid record has a null reason and its transform loaded. The reason of another is the first that fits of quoting,
+    column_count and invalid_value, among what is wrong with its columns and with its transform (``parse_transforms``); a
+    record of unknown kind is an invalid_value whatever its columns. ``reason_offset`` is the byte offset in the record
+    of what gave the reason: the misplaced quote, the first column too many or the record's end, the column or the
+    part of the transform that is invalid.
+    """
+    c = _columns(texts)
+    n = len(c.count)
+    length = np.diff(c.offsets)
+
+    def column(index: np.ndarray | int) -> tuple[pa.Array, np.ndarray]:
+        """Each record's column ``index`` as text, empty where it has none, and its place."""
+        index = np.broadcast_to(index, n)
+        there = (index >= 0) & (index < c.count)
+        at = np.where(there, c.first + index, -1)
+        return pc.fill_null(c.text.take(pa.array(at, pa.int64(), mask=~there)), ""), at
+
+    def matches(index: np.ndarray | int, pattern: str) -> np.ndarray:
+        return np.array(pc.match_substring_regex(column(index)[0], pattern))
+
+    quoting = c.broken_at >= 0
+    kind = np.array(pc.index_in(column(0)[0], pa.array(list(RECORD_COLUMNS), pa.large_string())).fill_null(-1))
+    stos = kind == 0
+    want = np.array([*map(len, RECORD_COLUMNS.values()), -1])[kind]
+    known = ~quoting & (kind >= 0)
+    shaped = known & (c.count == want)
+    texts_of, at = column(np.where(shaped, np.where(stos, 6, 3), -1))
+    made = parse_transforms(texts_of)
+    said = np.array(made["reason"].fill_null(""), object)
+    # The text of a column keeps some of its bytes: their places lead from an offset in the text to one in the record.
+    within = np.array(made["reason_offset"].fill_null(0)).astype(np.int64)
+    size = np.array(pc.binary_length(texts_of))
+    byte = (c.kept_from[at] if len(c.kept_from) else at) + within
+    inside = c.kept[np.minimum(byte, max(len(c.kept) - 1, 0))] if len(c.kept) else byte
+    in_transform = np.where(within < size, inside, c.end[at] if len(c.end) else 0)
+    spoiled = [~matches(1, _WHOLE), stos & ~matches(4, _WHOLE), stos & ~matches(5, _TWO_WHOLE)]
+    bad = [shaped & b for b in spoiled]
+    places = [c.start[column(i)[1]] if len(c.start) else np.zeros(n, np.int64) for i in (1, 4, 5)]
+    many = c.start[np.where(shaped | ~known | (c.count < want), 0, c.first + want)] if len(c.start) else np.zeros(n, np.int64)
+    cases = [
+        (quoting, "quoting", c.broken_at + c.offsets[:-1]),
+        (~known, "invalid_value", c.offsets[:-1]),
+        (~shaped, "column_count", np.where(c.count < want, c.offsets[1:], many)),
+        (said == "column_count", "column_count", in_transform),
+        *((b, "invalid_value", p) for b, p in zip(bad, places, strict=True)),
+        (said == "invalid_value", "invalid_value", in_transform),
+    ]
+    reason = np.select([x for x, _, _ in cases], [y for _, y, _ in cases], "")
+    offset = np.select([x for x, _, _ in cases], [z for _, _, z in cases], 0) - c.offsets[:-1]
+    good = reason == ""
+    hidden = pa.array(~good)
+    blank = lambda x: pc.if_else(hidden, pa.scalar(None, x.type), x)
+    return {
+        "fields": _fields(c),
+        "transform_type": blank(made["transform_type"]),
+        "vp": blank(made["vp"]),
+        "fp": blank(made["fp"]),
+        "reason": pa.array(reason, pa.string(), mask=good),
+        "reason_offset": pa.array(np.minimum(offset, length).astype(np.int32), pa.int32(), mask=good),
+    }
+
+
+_DOUBLES = T.ArrayType(T.DoubleType())
+_TRANSFORM = [T.StructField("transform_type", T.StringType()), T.StructField("vp", _DOUBLES), T.StructField("fp", _DOUBLES)]
+_REASON = [T.StructField("reason", T.StringType()), T.StructField("reason_offset", T.IntegerType())]
+
 
+def _mapped(df: DataFrame, text: str, parse: Callable[[pa.Array], dict[str, pa.Array]], columns: list[T.StructField], keep: str = "all") -> DataFrame:
+    """``df`` without ``text`` and with those ``columns`` that ``parse`` makes of it, batch by batch.
 
-def with_record_reason(df: DataFrame) -> DataFrame:
-    """Adds ``reason`` to tokenized records: quoting, then column_count, then invalid_value, null where the record is valid."""
-    f = lambda i: F.coalesce(F.get("fields", F.lit(i)), F.lit(""))
-    kind, n = f(0), F.size("fields")
-    want = F.when(kind == "stos", 8).when(kind == "mosaic", 5)
-    stos = f(4).rlike(_WHOLE) & f(5).rlike(_TWO_WHOLE)
-    return df.withColumn(
-        "reason",
-        F.when(F.col("fields").isNull(), "quoting").when(want.isNull(), "invalid_value").when(n != want, "column_count").when(~f(1).rlike(_WHOLE) | ((kind == "stos") & ~stos), "invalid_value"),
-    )
+    ``keep`` says which rows leave the batch: all, or those with a null (good) or no null ``reason`` (bad). A column of
+    ``df`` gives way to a made one of its name.
+    """
+    made_names = [f.name for f in columns]
+    kept = [f for f in df.schema.fields if f.name != text and f.name not in made_names]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = parse(batch.column(batch.schema.get_field_index(text)))
+            out = pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *(made[c] for c in made_names)], [*names, *made_names])
+            yield out if keep == "all" else out.filter(pc.is_null(made["reason"]) if keep == "good" else pc.is_valid(made["reason"]))
+
+    return df.mapInArrow(run, T.StructType([*kept, *columns]))
+
+
+def with_transforms(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the column ``text`` replaced by transform_type, vp, fp, reason and reason_offset (``parse_transforms``)."""
+    return _mapped(df, text, parse_transforms, [*_TRANSFORM, *_REASON])
 
 
-def stos_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stos = load(spark, sf_dir, "stos_files").select(F.lit("stos_files").alias("source_table"), F.col("stos_id").alias("record_id"), F.col("transform_str").alias("text"))
-    return with_transforms(stos, "text")
+def with_records(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the column ``text`` replaced by fields, transform_type, vp, fp, reason and reason_offset (``parse_records``)."""
+    return _mapped(df, text, parse_records, [T.StructField("fields", T.ArrayType(T.StringType())), *_TRANSFORM, *_REASON])
 
 
-def mosaic_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = load(spark, sf_dir, "mosaic_tiles").select(F.lit("mosaic_tiles").alias("source_table"), F.col("entry_id").alias("record_id"), entry_transform(F.col("image_to_transform")).alias("text"))
-    return with_transforms(tiles, "text")
+def _texts(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, Callable[[pa.Array], dict[str, pa.Array]]]]:
+    """The texts of the three tables as (source_table, record_id, text), each with what parses it."""
+    of = lambda table, key, text: load(spark, sf_dir, table).select(F.lit(table).alias("source_table"), F.col(key).alias("record_id"), text.alias("text"))
+    return [
+        (of("stos_files", "stos_id", F.col("transform_str")), parse_transforms),
+        (of("mosaic_tiles", "entry_id", entry_transform(F.col("image_to_transform"))), parse_transforms),
+        (of("raw_records", "raw_id", F.col("line_text")), parse_records),
+    ]
 
 
-def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = load(spark, sf_dir, "raw_records").select(F.lit("raw_records").alias("source_table"), F.col("raw_id").alias("record_id"), F.col("line_text").alias("text"))
-    return with_record_reason(with_fields(raw, "text"))
+def _failing(spark: SparkSession, sf_dir: str, columns: list[T.StructField]) -> DataFrame:
+    """The failing records of the three tables, once each; only they leave the tokenizer."""
+    parts = [_mapped(df, "text", parse, columns, "bad") for df, parse in _texts(spark, sf_dir)]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["source_table", "record_id", "reason"]
-    parts = [t.filter("reason is not null").select(*columns) for t in (stos_transforms(spark, sf_dir), mosaic_transforms(spark, sf_dir), raw_fields(spark, sf_dir))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+    return _failing(spark, sf_dir, _REASON[:1])
 
 
 def p3_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The failing records with the byte offset of the offence, where the tokenizer found it."""
-    columns = ["source_table", "record_id", "reason", "reason_offset"]
-    raw = raw_fields(spark, sf_dir).withColumnRenamed("broken_at", "reason_offset")
-    parts = [t.filter("reason is not null").select(*columns) for t in (stos_transforms(spark, sf_dir), mosaic_transforms(spark, sf_dir), raw)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+    """The failing records with the byte offset of what gave the reason."""
+    return _failing(spark, sf_dir, _REASON)
 
 
 def p3_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid transforms of both tables, loaded: one row per record, vp and fp as arrays."""
-    parts = [t.filter("reason is null").drop("reason", "reason_offset") for t in (stos_transforms(spark, sf_dir), mosaic_transforms(spark, sf_dir))]
+    parts = [_mapped(df, "text", parse, [*_TRANSFORM], "good") for df, parse in _texts(spark, sf_dir)[:2]]
     return parts[0].unionByName(parts[1]).dropDuplicates(["source_table", "record_id"])
 
 
 def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The valid raw records, typed; a mosaic record has nulls in the columns only stos has, and a number too large for its type is null."""
-    good = raw_fields(spark, sf_dir).filter("reason is null")
+    """The valid raw records, typed, with their transform loaded; a mosaic record has nulls in the columns only stos has, and a number too large for its type is null."""
+    raw, parse = _texts(spark, sf_dir)[2]
+    good = _mapped(raw, "text", parse, [T.StructField("fields", T.ArrayType(T.StringType())), *_TRANSFORM], "good")
     f = lambda i: F.get("fields", F.lit(i))
     stos = f(0) == "stos"
     size = F.split(F.trim(f(5)), r"\s+")
@@ -285,5 +375,5 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("record_id").alias("raw_id"), f(0).alias("kind"), F.trim(f(1)).try_cast("bigint").alias("id"),
         F.when(stos, f(2)).alias("control_image"), F.when(stos, f(3)).otherwise(f(2)).alias("image"),
         F.when(stos, F.trim(f(4)).try_cast("bigint")).alias("downsample"), F.when(stos, F.get(size, F.lit(0)).try_cast("bigint")).alias("width"), F.when(stos, F.get(size, F.lit(1)).try_cast("bigint")).alias("height"),
-        F.when(stos, f(6)).otherwise(f(3)).alias("transform"), F.when(stos, f(7)).otherwise(f(4)).alias("remark"),
+        "transform_type", "vp", "fp", F.when(stos, f(7)).otherwise(f(4)).alias("remark"),
     ).dropDuplicates(["raw_id"])

@@ -27,11 +27,6 @@ cur AS (SELECT tile, string_split(tile,'/')[1] AS level, arg_max(struct_pack(f:=
 placed AS (SELECT level, tile, b.f AS file_id, b.n AS n_bytes, b.c AS content_crc, (sum(b.n) OVER (PARTITION BY level ORDER BY tile) - b.n)::BIGINT AS byte_offset FROM cur)"""
 
 _NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
-_TOKENS = r"""src AS (SELECT 'stos_files' AS source_table, stos_id AS record_id, transform_str AS t FROM stos_files UNION SELECT 'mosaic_tiles', entry_id,
- regexp_replace(regexp_replace(image_to_transform, '^\s*image\s*:\s*', '', 'i'), '^(\S.*?\.[A-Za-z][A-Za-z0-9]{0,4}|\S+)(\s|$)', '') FROM mosaic_tiles),
-tok AS (SELECT source_table, record_id, list_filter(string_split_regex(coalesce(t,''), '\s+'), lambda x: x<>'') AS t FROM src),
-pos AS (SELECT *, CASE WHEN list_position(t[3:],'fp')>0 THEN list_position(t[3:],'fp')+2 END AS f FROM tok)"""
-_KINDS = "'LegendrePolynomialTransform_double_2_2_1','Rigid2DTransform_double_2_2','CenteredSimilarity2DTransform_double_2_2','GridTransform_double_2_2','MeshTransform_double_2_2'"
 _FIELD = r'("(?:[^"]|"")*"|[^",]*)'
 
 
@@ -39,6 +34,13 @@ def _column(i: int) -> str:
     got = f"regexp_extract(l, '^{','.join([_FIELD] * i)}', {i})"
     return f"(CASE WHEN {got}[1]='\"' THEN replace(substr({got},2,length({got})-2),'\"\"','\"') ELSE {got} END)"
 
+_TOKENS = rf"""raw AS (SELECT DISTINCT raw_id, regexp_replace(coalesce(line_text,''), '\r$', '') AS l FROM raw_records),
+shape AS (SELECT raw_id, l, regexp_full_match(l, '(?s){_FIELD}(,{_FIELD})*') AS fine, length(regexp_replace(l,'"(?:[^"]|"")*"','','g'))-length(replace(regexp_replace(l,'"(?:[^"]|"")*"','','g'),',',''))+1 AS n, {_column(1)} AS kind, {_column(2)} AS id, {_column(4)} AS c4, {_column(5)} AS ds, {_column(6)} AS wh, {_column(7)} AS c7 FROM raw),
+src AS (SELECT 'stos_files' AS source_table, stos_id AS record_id, transform_str AS t FROM stos_files UNION SELECT 'mosaic_tiles', entry_id,
+ regexp_replace(regexp_replace(image_to_transform, '^\s*image\s*:\s*', '', 'i'), '^(\S.*?\.[A-Za-z][A-Za-z0-9]{{0,4}}|\S+)(\s|$)', '') FROM mosaic_tiles UNION SELECT 'raw_records', raw_id, CASE WHEN kind='stos' THEN c7 ELSE c4 END FROM shape WHERE fine AND (kind='stos' AND n=8 OR kind='mosaic' AND n=5)),
+tok AS (SELECT source_table, record_id, list_filter(string_split_regex(coalesce(t,''), '\s+'), lambda x: x<>'') AS t FROM src),
+pos AS (SELECT *, CASE WHEN list_position(t[3:],'fp')>0 THEN list_position(t[3:],'fp')+2 END AS f FROM tok)"""
+_KINDS = "'LegendrePolynomialTransform_double_2_2_1','Rigid2DTransform_double_2_2','CenteredSimilarity2DTransform_double_2_2','GridTransform_double_2_2','MeshTransform_double_2_2'"
 
 SQL = {
     "p2_rank_check": """WITH s AS (SELECT DISTINCT stat_id, section_no, channel_name, bpp, px_median, px_std FROM image_stats), v AS (SELECT section_no, channel_name, bpp, 'px_median' AS measure, px_median AS v FROM s UNION ALL SELECT section_no, channel_name, bpp, 'px_std', px_std FROM s)
@@ -49,10 +51,9 @@ SELECT section_no, channel_name, bpp, measure, count(*) AS n, true AS within FRO
 val AS (SELECT *, list_transform(v, lambda x: CASE WHEN regexp_full_match(x,'{_NUMBER}') AND abs(x::DOUBLE)<1.79769e308 THEN x::DOUBLE END) AS nv, list_transform(p, lambda x: CASE WHEN regexp_full_match(x,'{_NUMBER}') AND abs(x::DOUBLE)<1.79769e308 THEN x::DOUBLE END) AS np FROM formed),
 want AS (SELECT *, CASE t[1][1] WHEN 'L' THEN 4 WHEN 'R' THEN 2 WHEN 'C' THEN 0 WHEN 'G' THEN 7 ELSE 8 END AS wf, CASE t[1][1] WHEN 'L' THEN 6 WHEN 'R' THEN 3 WHEN 'C' THEN 6 WHEN 'G' THEN 2*(np[2]+1)*(np[3]+1) ELSE 4*np[8] END AS wv FROM val),
 res AS (SELECT source_table, record_id, CASE WHEN ok=0 THEN 'invalid_value' WHEN t[3]::BIGINT<>len(v) OR t[f+1]::BIGINT<>len(p) OR len(p)<>wf OR coalesce(len(v)<>wv,false) THEN 'column_count' WHEN len(list_filter(nv||np, lambda x: x IS NULL))>0 THEN 'invalid_value' END AS reason FROM want),
-raw AS (SELECT DISTINCT raw_id, regexp_replace(coalesce(line_text,''), '\r$', '') AS l FROM raw_records),
-shape AS (SELECT raw_id, l, regexp_full_match(l, '(?s){_FIELD}(,{_FIELD})*') AS fine, length(regexp_replace(l,'"(?:[^"]|"")*"','','g'))-length(replace(regexp_replace(l,'"(?:[^"]|"")*"','','g'),',',''))+1 AS n, {_column(1)} AS kind, {_column(2)} AS id, {_column(5)} AS ds, {_column(6)} AS wh FROM raw),
-rr AS (SELECT raw_id, CASE WHEN NOT fine THEN 'quoting' WHEN kind NOT IN ('stos','mosaic') THEN 'invalid_value' WHEN n<>(CASE WHEN kind='stos' THEN 8 ELSE 5 END) THEN 'column_count' WHEN NOT regexp_full_match(id,'0*[1-9][0-9]*') OR (kind='stos' AND NOT (regexp_full_match(ds,'0*[1-9][0-9]*') AND regexp_full_match(wh,'0*[1-9][0-9]*\s+0*[1-9][0-9]*'))) THEN 'invalid_value' END AS reason FROM shape)
-SELECT DISTINCT source_table, record_id, reason FROM res WHERE reason IS NOT NULL UNION ALL SELECT 'raw_records', raw_id, reason FROM rr WHERE reason IS NOT NULL""",
+own AS (SELECT raw_id, CASE WHEN NOT fine THEN 'quoting' WHEN kind NOT IN ('stos','mosaic') THEN 'invalid_value' WHEN n<>(CASE WHEN kind='stos' THEN 8 ELSE 5 END) THEN 'column_count' WHEN NOT regexp_full_match(id,'0*[1-9][0-9]*') OR (kind='stos' AND NOT (regexp_full_match(ds,'0*[1-9][0-9]*') AND regexp_full_match(wh,'0*[1-9][0-9]*\s+0*[1-9][0-9]*'))) THEN 'invalid_value' END AS reason FROM shape),
+every AS (SELECT source_table, record_id, reason FROM res UNION ALL SELECT 'raw_records', raw_id, reason FROM own)
+SELECT source_table, record_id, CASE min(CASE reason WHEN 'quoting' THEN 1 WHEN 'column_count' THEN 2 ELSE 3 END) WHEN 1 THEN 'quoting' WHEN 2 THEN 'column_count' ELSE 'invalid_value' END AS reason FROM every WHERE reason IS NOT NULL GROUP BY ALL""",
     "p4_found": f"WITH {_CURRENT} SELECT DISTINCT file_id FROM tileset_files WHERE file_id NOT IN (SELECT file_id FROM placed)",
     "p4_assignment": f"WITH {_CURRENT} SELECT level, byte_offset//134217728 AS file_no, byte_offset, tile, file_id, n_bytes, content_crc FROM placed",
     "p4_ranges": f"WITH {_CURRENT} SELECT level, byte_offset//134217728 AS file_no, min(tile) AS first_tile, max(tile) AS last_tile, count(*) AS n_tiles, sum(n_bytes)::BIGINT AS n_bytes FROM placed GROUP BY ALL",

@@ -388,12 +388,13 @@ def net_displacement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    """Valid transforms of the slice-to-slice records, under the record's id."""
-    t = parsing.stos_transforms(spark, d).filter("reason is null").dropDuplicates(["record_id"])
-    return t.select(F.col("record_id").alias("tf_id"), "transform_type", "vp", "fp")
+    """Valid transforms of slice-to-slice records and mosaic entries, under their table and id."""
+    return parsing.p3_transforms(spark, d).select(F.concat_ws(":", "source_table", "record_id").alias("tf_id"), "transform_type", "vp", "fp")
 
 
-PARSE = r"""tok AS (SELECT DISTINCT stos_id AS tf_id, string_split_regex(trim(transform_str, ' '||chr(9)||chr(10)||chr(13)), '\s+') AS t FROM stos_files),
+def parse_sql(texts: str) -> str:
+    """Valid transforms as ``parsed``, of the texts s under tf_id."""
+    return rf"""tok AS (SELECT tf_id, string_split_regex(trim(s, ' '||chr(9)||chr(10)||chr(13)), '\s+') AS t FROM ({texts}) u),
 kind AS (SELECT tf_id, t[1] AS transform_type, list_position(t,'fp') AS f, t FROM tok WHERE t[2]='vp' AND list_position(t,'fp')>0 AND regexp_full_match(t[3],'\d+') AND regexp_full_match(coalesce(t[list_position(t,'fp')+1],''),'\d+')),
 num AS (SELECT tf_id, transform_type, t[3]::BIGINT AS nv, t[f+1]::BIGINT AS nf, t[4:f-1] AS v, t[f+2:] AS p FROM kind WHERE len(list_filter(t[4:f-1]||t[f+2:], lambda x: NOT regexp_full_match(x,'[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')))=0),
 dbl AS (SELECT tf_id, transform_type, nv, nf, list_transform(v, lambda x: x::DOUBLE) AS vp, list_transform(p, lambda x: x::DOUBLE) AS fp FROM num WHERE nv=len(v) AND nf=len(p)),
@@ -401,6 +402,13 @@ parsed AS (SELECT tf_id, transform_type, vp, fp FROM dbl WHERE len(list_filter(v
  OR (transform_type='GridTransform_double_2_2' AND nf=7 AND nv=2*(fp[2]+1)*(fp[3]+1)) OR (transform_type='MeshTransform_double_2_2' AND nf=8 AND nv=4*fp[8])))"""
 
 
+STOS_TEXTS = "SELECT DISTINCT stos_id AS tf_id, transform_str AS s FROM stos_files"
+PARSE = parse_sql(
+    r"""SELECT 'stos_files:'||stos_id AS tf_id, transform_str AS s FROM stos_files
+UNION SELECT 'mosaic_tiles:'||entry_id, regexp_replace(regexp_replace(image_to_transform, '^\s*image\s*:\s*', '', 'i'), '^(\S.*?\.[A-Za-z][A-Za-z0-9]{0,4}|\S+)(\s|$)', '') FROM mosaic_tiles"""
+)
+
+
 @query(f"WITH {PARSE} SELECT tf_id, transform_type, len(vp)::INT AS n_vp, len(fp)::INT AS n_fp, round(coalesce(list_sum(vp),0),3)+0.0 AS sum_vp, round(coalesce(list_sum(fp),0),3)+0.0 AS sum_fp FROM parsed")
 def transform_parse(spark: SparkSession, d: str) -> DataFrame:
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 3) + 0.0

@@ -34,4 +34,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL | oracles.with_transforms_sql(reference.PARSE) | reference.SQL
+    return oracles.SQL | oracles.with_transforms_sql(reference.parse_sql(reference.STOS_TEXTS)) | reference.SQL

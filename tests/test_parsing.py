@@ -104,12 +104,65 @@ def test_chunks_do_not_matter():
         assert (P._QUOTES.run(data, starts, chunk=chunk) == want).all()
 
 
+RIGID = "Rigid2DTransform_double_2_2 vp 3 1 2 3 fp 2 4 5"
+
+
+def brute_record(line):
+    """Reason of a raw record, column by column."""
+    fields = brute_fields(line or "")
+    if fields is None:
+        return "quoting"
+    want = {"stos": 8, "mosaic": 5}.get(fields[0])
+    if want is None:
+        return "invalid_value"
+    if len(fields) != want:
+        return "column_count"
+    whole = lambda x: re.fullmatch(r"\s*\+?0*[1-9][0-9]*\s*", x, re.ASCII) is not None
+    sizes = fields[5].split() if want == 8 else []
+    wrong = not whole(fields[1]) or want == 8 and not (whole(fields[4]) and len(sizes) == 2 and all(map(whole, sizes)))
+    inner = brute_transform(fields[6 if want == 8 else 3])
+    return inner if inner == "column_count" or not wrong else "invalid_value"
+
+
+COLUMN = st.sampled_from(["stos", "mosaic", "7", "0", "8", "51 52", "51", "a.png", RIGID, RIGID.replace("4", "x"), RIGID.replace("vp 3", "vp 4"), f'"{RIGID}"', '"x, ""y"""', 'b"c', '"open', ""])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["stos", "mosaic", "x"]), st.lists(COLUMN, max_size=9), st.booleans()), min_size=1, max_size=5))
+def test_raw_records_like_brute_force(rows):
+    lines = [",".join([kind, *rest]) + "\r" * cr for kind, rest, cr in rows]
+    lines += [f"stos,7,a,b,8,51 52,{RIGID},r", f"mosaic,7,a,{RIGID},", None]
+    got = P.parse_records(pa.array(lines))
+    assert got["reason"].to_pylist() == [brute_record(x) for x in lines]
+    assert [(o is None) == (r is None) for o, r in zip(got["reason_offset"].to_pylist(), got["reason"].to_pylist(), strict=True)]
+
+
+def test_offsets_of_raw_records():
+    bad = {
+        f'stos,7,"é ""a""",b,8,51 52,"{RIGID.replace("2 3 fp", "x 3 fp")}",r': "x 3 fp",
+        f"stos,0,a,b,8,51 52,{RIGID},r": "0,a",
+        f"stos,1,a,b,z,51 52,{RIGID},r": "z,51",
+        f"stos,1,a,b,8,51,{RIGID},r": "51,R",
+        f"mosaic,1,i,{RIGID},r,more": "more",
+        f"mosaic,1,i,{RIGID}": None,
+        f"mosaic,1,i,{RIGID.replace('vp 3', 'vp 4')},": "4 1 2",
+        "mosaic,1,i,Rigid2DTransform_double_2_2 vp,": ",\0",
+        "none,1": "none",
+        'mosaic,1,i"j,t,': '"j',
+    }
+    got = P.parse_records(pa.array([x.replace("\0", "") for x in bad]))
+    for line, want, at in zip(bad, bad.values(), got["reason_offset"].to_pylist(), strict=True):
+        here = len(line.encode()) if want is None else len(line) - 1 if want == ",\0" else line.encode().index(want.encode())
+        assert at == here, (line, at, here)
+
+
 def test_reasons(spark):
     lines = {
-        'stos,7,a.png,b.png,8,51 52,"x, y",r\r': None, 'stos,7,a.png,b.png,8,51 52,"x, y,r': "quoting", 'stos,0,a.png,b.png,8,51 52,x,r': "invalid_value", "mosaic,1,i,t": "column_count",
-        "mosaic,1,i,t,": None, "Mosaic,1,i,t,": "invalid_value", "": "invalid_value", None: "invalid_value", "stos,1,a,b,8,51,x,r": "invalid_value", 'mosaic,1,i"j,t,': "quoting",
+        f'stos,7,a.png,b.png,8,51 52,"{RIGID}","x, y"\r': None, 'stos,7,a.png,b.png,8,51 52,"x, y,r': "quoting", f"stos,0,a.png,b.png,8,51 52,{RIGID},r": "invalid_value", "mosaic,1,i,t": "column_count",
+        f"mosaic,1,i,{RIGID},": None, f"Mosaic,1,i,{RIGID},": "invalid_value", "": "invalid_value", None: "invalid_value", f"stos,1,a,b,8,51,{RIGID},r": "invalid_value", 'mosaic,1,i"j,t,': "quoting",
+        "mosaic,1,i,t,": "invalid_value", f"mosaic,0,i,{RIGID} 9,": "column_count",
     }
-    df = spark.createDataFrame(list(enumerate(lines)), "raw_id bigint, t string").withColumn("kind", P.F.lit("clash"))
-    got = {r.raw_id: r.reason for r in P.with_record_reason(P.with_fields(df, "t")).collect()}
+    df = spark.createDataFrame(list(enumerate(lines)), "raw_id bigint, t string").withColumn("reason", P.F.lit("clash"))
+    got = {r.raw_id: r.reason for r in P.with_records(df, "t").collect()}
     assert got == dict(enumerate(lines.values()))
-    assert P.with_record_reason(P.with_fields(df.limit(0), "t")).count() == 0
+    assert P.with_records(df.limit(0), "t").count() == 0
