@@ -43,8 +43,6 @@ pos AS (SELECT *, CASE WHEN list_position(t[3:],'fp')>0 THEN list_position(t[3:]
 _KINDS = "'LegendrePolynomialTransform_double_2_2_1','Rigid2DTransform_double_2_2','CenteredSimilarity2DTransform_double_2_2','GridTransform_double_2_2','MeshTransform_double_2_2'"
 
 SQL = {
-    "p2_rank_check": """WITH s AS (SELECT DISTINCT stat_id, section_no, channel_name, bpp, px_median, px_std FROM image_stats), v AS (SELECT section_no, channel_name, bpp, 'px_median' AS measure, px_median AS v FROM s UNION ALL SELECT section_no, channel_name, bpp, 'px_std', px_std FROM s)
-SELECT section_no, channel_name, bpp, measure, count(*) AS n, true AS within FROM v WHERE isfinite(v) AND v>=0 AND v<1.79769e308 GROUP BY ALL""",
     "p1_found": f"WITH {_REFS} SELECT source_table, record_id, field_name FROM orphans",
     "p1_orphans_by_month": f"WITH {_REFS} SELECT source_table, field_name, strftime(at_, '%Y-%m') AS month, count(*) AS n_orphans FROM orphans GROUP BY ALL",
     "p3_found": rf"""WITH {_TOKENS}, formed AS (SELECT *, t[4:f-1] AS v, t[f+2:] AS p, CASE WHEN len(t)>=3 AND t[1] IN ({_KINDS}) AND t[2]='vp' AND regexp_full_match(t[3],'[0-9]+') AND f IS NOT NULL AND len(t)>f AND regexp_full_match(t[f+1],'[0-9]+') THEN 1 ELSE 0 END AS ok FROM pos),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.operators import changepoints, consolidate, orphans, parsing, percentiles, units
+from lattica.operators import changepoints, consolidate, orphans, parsing, units
 from lattica.plans import oracles, reference
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,6 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": orphans.p1_found,
         "p1_orphans_by_month": orphans.p1_orphans_by_month,
-        "p2_percentiles": percentiles.p2_percentiles,
-        "p2_daily": percentiles.p2_daily,
-        "p2_rank_check": percentiles.p2_rank_check,
         "p3_found": parsing.p3_found,
         "p3_errors": parsing.p3_errors,
         "p3_transforms": parsing.p3_transforms,
