@@ -76,6 +76,14 @@ def downsample_factor(text: Column) -> Column:
     return power_of_two(F.when(value < 1, F.try_divide(F.lit(1.0), value)).otherwise(value))
 
 
+def written_number(text: Column) -> Column:
+    """The number that a text holds, whatever it means; a ratio or power of two numbers is worked out. Null where it holds none."""
+    t = F.coalesce(text, F.lit(""))
+    n, get = numbers_in(t), lambda k: F.get(numbers_in(t), F.lit(k))
+    two = rf"{_NUMBER}\s*%s\s*{_NUMBER}"
+    return F.when(t.rlike(two % "[:/]"), F.try_divide(get(0), get(1))).when(t.rlike(two % r"(?:\^|\*\*)"), F.pow(get(0), get(1))).when(F.size(n) > 0, get(0))
+
+
 def name_downsample(name: Column) -> Column:
     """The power of two at the end of a slice-to-slice file name (``..._<downsample>.stos``); null where it lacks."""
     return power_of_two(F.nullif(F.regexp_extract(F.coalesce(name, F.lit("")), r"_(\d+)(?:\.[A-Za-z]+)?\s*$", 1), F.lit("")).try_cast("double"))

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.functions.units import UNIT_NM
-from lattica.operators.units import with_quantities
+from lattica.functions.units import UNIT_NM, written_number
+from lattica.operators.units import p5_found, with_quantities
 from lattica.sources.tables import load, materialize
 
-#: Cost of a change, in units of half a squared deviation.
-PENALTY = 6.0
+#: Cost of a change, in units of half a squared deviation: low, as sources may change unit from record to record.
+PENALTY = 0.7
 #: Records of a piece at most.
 PIECE = 1024
 
@@ -148,26 +148,99 @@ def segment(df: DataFrame, levels: int, penalty: float = PENALTY) -> DataFrame:
     return joined.mapInArrow(solve, T.StructType([df.schema["source"], T.StructField("id", df.schema["id"].dataType), T.StructField("level", T.IntegerType())]))
 
 
-#: Levels: how a width may have been written, fixed values.
-WRITTEN_IN = ("pixels", "full_pixels", "nm", "µm", "mm")
+#: Levels of a length: how it may have been written. Fixed values.
+WRITTEN_IN = ("pixels", "full_pixels", "å", "nm", "µm", "mm", "cm", "m")
+#: Levels of a downsample: as a factor, its inverse, a percentage, a pyramid level. Fixed values.
+DOWNSAMPLES = ("factor", "inverse", "percent", "level")
+#: Log deviations from a source's usual value: least and largest one taken as its standard deviation.
+SPREAD = (0.1, 1.0)
+#: Cost of a level that a record can't have.
+NEVER = 1e6
+
+
+def _history(rows: DataFrame) -> DataFrame:
+    """Adds ``usual`` and ``spread`` to rows (source, base): median and normal spread of ``base`` in the source's history."""
+    found = F.percentile_approx("base", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias("q")
+    per = rows.groupBy("source").agg(found).select(F.col("source").alias("of"), F.get("q", F.lit(1)).alias("usual"), F.greatest(F.lit(SPREAD[0]), F.least(F.lit(SPREAD[1]), (F.get("q", F.lit(2)) - F.get("q", F.lit(0))) / 1.349)).alias("spread"))
+    return rows.join(per, rows["source"] == per["of"]).drop("of")
+
+
+def _cost(z: F.Column, expected: list[F.Column]) -> F.Column:
+    """Half squared deviations of ``z`` from what each level makes one expect; a zero, which has no log, fits every level alike."""
+    one = lambda e: F.when(z.isNull(), F.lit(0.0)).otherwise(F.coalesce(F.pow((z - e) / F.col("spread"), 2.0) / 2, F.lit(NEVER)))
+    return F.array(*[one(e) for e in expected])
+
+
+def written_downsamples(stos: DataFrame) -> DataFrame:
+    """(stos_id, source, written_in, factor): how each record's downsample was written, by its source's history alone.
+
+    What is written is the number in the text, a ratio or power worked out. A text without a number is left out.
+    """
+    q = stos.select("stos_id", F.coalesce("stos_dir", F.lit("")).alias("source"), F.col("recorded_at").alias("at"), written_number(F.col("downsample")).alias("number")).filter("number >= 0")
+    z = F.when(F.col("number") > 0, F.ln("number"))
+    known = _history(q.withColumn("base", z))
+    u, hundred = F.col("usual"), float(np.log(100.0))
+    level = F.ln(F.greatest(u / float(np.log(2.0)), F.lit(0.05)))
+    rows = known.select("source", "at", F.struct("stos_id", "number").alias("id"), _cost(z, [u, -u, F.lit(hundred) - u, level]).alias("costs"))
+    found = segment(rows, len(DOWNSAMPLES))
+    n = F.col("id.number")
+    value = F.when(F.col("level") == 0, n).when(F.col("level") == 1, F.try_divide(F.lit(1.0), n)).when(F.col("level") == 2, F.try_divide(F.lit(100.0), n)).otherwise(F.pow(F.lit(2.0), n))
+    return found.select("id.stos_id", "source", F.get(F.array(*[F.lit(x) for x in DOWNSAMPLES]), "level").alias("written_in"), value.alias("factor"))
+
+
+def written_lengths(quantities: DataFrame) -> DataFrame:
+    """(stos_id, written, source, written_in, values_px) of lengths (stos_id, written, folder, at, values, factor, pixel_nm), by history alone.
+
+    ``values`` are the numbers that one text gives in one unit, and ``written`` says which text; a folder and text have one
+    history, of the mean log of the numbers. The usual length is its median, read as pixels at the record's factor; a level
+    is that length as written in one of ``WRITTEN_IN``, and shifts between levels mark changes of unit. Without a pixel
+    size only pixels are possible.
+    """
+    logs = F.filter(F.transform("values", lambda v: F.when(v != 0, F.ln(F.abs(v)))), lambda v: v.isNotNull())
+    mean = F.try_divide(F.aggregate(logs, F.lit(0.0), lambda a, v: a + v), F.size(logs))
+    kept = quantities.withColumn("z", mean).withColumn("source", F.concat_ws(" ", "written", "folder"))
+    lds, lpx = F.ln("factor"), F.ln(F.when(F.col("pixel_nm") > 0, F.col("pixel_nm")))
+    known = _history(kept.withColumn("base", F.col("z") + lds))
+    factors = [-lds, F.lit(0.0), *[lpx - float(np.log(UNIT_NM[u])) for u in WRITTEN_IN[2:]]]
+    carried = F.struct("stos_id", "written", "folder", "values", F.array(*factors).alias("factors"))
+    rows = known.select("source", "at", carried.alias("id"), _cost(F.col("z"), [F.col("usual") + f for f in factors]).alias("costs"))
+    found = segment(rows, len(WRITTEN_IN))
+    pixels = F.transform("id.values", lambda v: v * F.exp(-F.get("id.factors", F.col("level"))))
+    whole = F.transform(pixels, lambda v: F.round(F.when(F.abs(v) < 9e18, v)).cast("bigint"))
+    return found.select("id.stos_id", "id.written", F.col("id.folder").alias("source"), F.get(F.array(*[F.lit(x) for x in WRITTEN_IN]), "level").alias("written_in"), whole.alias("values_px"))
+
+
+#: Quantities of a text, in its order. Fixed values.
+WRITTEN = {"mapped_image_dim": ("mapped_width", "mapped_height"), "transform_str": ("transform_x",)}
 
 
 def p5_method(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The unit in which each record's mapped width was written, and the width in full-resolution pixels, by its source's history alone.
+    """How every readable quantity of every record was written, and its value in full-resolution pixels, by histories alone.
 
-    A source is a folder of records. Its usual width is the median of the widths read as pixels at the record's downsample;
-    a level is that width written in one of ``WRITTEN_IN``, and shifts between levels mark changes of unit. What a record
-    states of its unit isn't used. Records without a readable width or downsample are left out.
+    What a record states of its units isn't used: a folder's records in order of time are the history. The downsample comes
+    first; the lengths are then read with the factor found. A record whose downsample has no number takes its
+    folder's usual factor. A quantity without a finite number has no row.
     """
-    q = with_quantities(load(spark, sf_dir, "stos_files"))
+    stos = load(spark, sf_dir, "stos_files").dropDuplicates(["stos_id"])
+    factors = materialize(written_downsamples(stos))
+    usual = factors.groupBy("source").agg(F.percentile_approx("factor", 0.5, 1000).alias("usual_factor")).withColumnRenamed("source", "s_source")
+    q = with_quantities(stos).withColumn("folder", F.coalesce("stos_dir", F.lit("")))
     n = F.size("dims")
-    width = F.when(n >= 2, F.get("dims", n - 2))
-    rows = q.select(F.col("stos_id").alias("id"), F.col("stos_dir").alias("source"), F.col("recorded_at").alias("at"), F.ln(width).alias("z"), F.ln(F.col("ds").cast("double")).alias("lds"), F.ln("pixel_nm").alias("lpx")).filter("z is not null and not isnan(z) and lds is not null and lpx is not null").dropDuplicates(["id"])
-    usual = rows.groupBy("source").agg(F.percentile_approx(F.col("z") + F.col("lds"), 0.5, 1000).alias("usual"), F.count("*").alias("n_source"))
-    known = rows.join(usual, "source")
-    factor = [-F.col("lds"), F.lit(0.0), F.col("lpx"), F.col("lpx") - float(np.log(UNIT_NM["µm"])), F.col("lpx") - float(np.log(UNIT_NM["mm"]))]
-    costs = F.array(*[F.pow(F.col("z") - F.col("usual") - f, 2.0) / 2 for f in factor])
-    ready = materialize(known.select("source", "at", "id", costs.alias("costs"), "z", F.array(*factor).alias("factors")))
-    found = segment(ready, len(WRITTEN_IN))
-    names = F.array(*[F.lit(x) for x in WRITTEN_IN])
-    return found.select("id", "level").join(ready.select("id", "source", "z", "factors"), "id").select(F.col("id").alias("stos_id"), "source", F.get(names, "level").alias("written_in"), F.round(F.exp(F.col("z") - F.get("factors", "level"))).cast("bigint").alias("width_px"))
+    texts = {"mapped_image_dim": F.when(n >= 2, F.slice("dims", n - 1, 2)), "transform_str": F.array("x")}
+    long = q.select("stos_id", "folder", F.col("recorded_at").alias("at"), "pixel_nm", F.explode(F.array(*[F.struct(F.lit(k).alias("written"), v.alias("values")) for k, v in texts.items()])).alias("r")).select("*", "r.written", "r.values").drop("r")
+    own = factors.select(F.col("stos_id").alias("f_id"), "factor")
+    finite = long.filter(F.col("values").isNotNull() & F.forall("values", lambda v: F.coalesce(F.abs(v) < 1.79769e308, F.lit(False))))
+    with_factor = finite.join(own, finite["stos_id"] == own["f_id"], "left").join(usual, finite["folder"] == usual["s_source"], "left")
+    lengths = written_lengths(with_factor.withColumn("factor", F.coalesce(F.when(F.col("factor") > 0, F.col("factor")), "usual_factor", F.lit(1.0))))
+    named = F.arrays_zip(F.coalesce(*[F.when(F.col("written") == k, F.array(*[F.lit(x) for x in v])) for k, v in WRITTEN.items()]).alias("n"), F.col("values_px").alias("v"))
+    lengths = lengths.select("stos_id", "source", "written_in", F.explode(named).alias("r")).select("stos_id", F.col("r.n").alias("field_name"), "source", "written_in", F.col("r.v").alias("value_px"))
+    down = factors.select("stos_id", F.lit("downsample").alias("field_name"), "source", "written_in", F.round(F.when(F.col("factor") < 9e18, F.col("factor"))).cast("bigint").alias("value_px"))
+    return down.unionByName(lengths)
+
+
+def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per field the quantities that records state (``p5_found``), those the method has, and those on which both agree within a pixel."""
+    stated = p5_found(spark, sf_dir).withColumnRenamed("value_px", "stated_px")
+    made = p5_method(spark, sf_dir).select("stos_id", "field_name", "value_px")
+    both = stated.join(made, ["stos_id", "field_name"], "left")
+    return both.groupBy("field_name").agg(F.count("*").alias("n_stated"), F.count("value_px").alias("n_method"), F.count_if(F.abs(F.col("value_px") - F.col("stated_px")) <= 1).alias("n_agree"))

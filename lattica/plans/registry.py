@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "p4_corners": consolidate.p4_corners,
         "p5_method": changepoints.p5_method,
         "p5_found": units.p5_found,
+        "p5_agreement": changepoints.p5_agreement,
         **reference.QUERIES,
     }
 

@@ -1,8 +1,13 @@
+import random
+from datetime import datetime as D
+from datetime import timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import units as U
+from lattica.operators import changepoints as C
 from lattica.operators.changepoints import segment
 
 
@@ -38,3 +43,27 @@ def test_changepoints_are_exact(spark):
         level = [got[f"{source}{t}"] for t in range(len(cost))]
         paid = sum(c[k] for c, k in zip(cost, level, strict=True)) + 1.5 * sum(a != b for a, b in zip(level, level[1:], strict=False))
         assert abs(paid - best.min()) < 1e-6
+
+
+def test_planted_unit_changes(spark):
+    random.seed(4)
+    rows, want = [], {}
+    units = ["pixels", "full_pixels", "pixels", "µm", "pixels", "pixels", "mm", "pixels"]
+    for i in range(400):
+        unit, nm, x = units[i // 25 % 8], 4.0, random.uniform(900, 1100)
+        v = {"pixels": x / 16, "full_pixels": x, "µm": x * nm / 1e3, "mm": x * nm / 1e6}[unit]
+        rows.append((i, "a" if i % 2 else None, D(2021, 1, 1) + timedelta(hours=i), [v, v * 1.01], 16.0, nm))
+        want[i] = (unit, round(x))
+    rows.append((1000, "a", None, [0.0], 16.0, None))
+    schema = "stos_id bigint, folder string, at timestamp, values array<double>, factor double, pixel_nm double"
+    df = spark.createDataFrame(rows, schema).withColumn("written", F.lit("t")).withColumn("source", F.lit("clash"))
+    got = {r.stos_id: (r.written_in, r.values_px[0]) for r in C.written_lengths(df).collect()}
+    assert got.pop(1000)[1] == 0 and got == want
+    assert C.written_lengths(df.limit(0)).count() == 0
+
+
+def test_planted_downsamples(spark):
+    texts = ["16"] * 40 + ["1/16"] * 10 + ["6.25 %"] * 10 + ["level 4"] * 10 + ["0.0625", "2^4", "16:1", "none", None, "level 0"]
+    df = spark.createDataFrame([(i, "s", D(2021, 1, 1) + timedelta(hours=i), t) for i, t in enumerate(texts)], "stos_id bigint, stos_dir string, recorded_at timestamp, downsample string")
+    got = {r.stos_id: r.factor for r in C.written_downsamples(df).collect()}
+    assert all(abs(got[i] - 16) < 1e-9 for i in range(73)) and set(range(len(texts))) - set(got) == {73, 74}
