@@ -189,7 +189,7 @@ def written_downsamples(stos: DataFrame) -> DataFrame:
 
 
 def written_lengths(quantities: DataFrame) -> DataFrame:
-    """(stos_id, written, source, written_in, values_px) of lengths (stos_id, written, folder, at, values, factor, pixel_nm), by history alone.
+    """(stos_id, written, source, written_in, values_px) of lengths (stos_id, written, folder, at, values, factor, pixel_nm), by history alone; they are read twice.
 
     ``values`` are the numbers that one text gives in one unit, and ``written`` says which text; a folder and text have one
     history, of the mean log of the numbers. The usual length is its median, read as pixels at the record's factor; a level
@@ -201,11 +201,12 @@ def written_lengths(quantities: DataFrame) -> DataFrame:
     kept = quantities.withColumn("z", mean).withColumn("source", F.concat_ws(" ", "written", "folder"))
     lds, lpx = F.ln("factor"), F.ln(F.when(F.col("pixel_nm") > 0, F.col("pixel_nm")))
     known = _history(kept.withColumn("base", F.col("z") + lds))
-    factors = [-lds, F.lit(0.0), *[lpx - float(np.log(UNIT_NM[u])) for u in WRITTEN_IN[2:]]]
-    carried = F.struct("stos_id", "written", "folder", "values", F.array(*factors).alias("factors"))
-    rows = known.select("source", "at", carried.alias("id"), _cost(F.col("z"), [F.col("usual") + f for f in factors]).alias("costs"))
+    of = lambda lds, lpx: [-lds, F.lit(0.0), *[lpx - float(np.log(UNIT_NM[u])) for u in WRITTEN_IN[2:]]]
+    carried = F.struct("stos_id", "written", "folder", "values", lds.alias("lds"), lpx.alias("lpx"))
+    rows = known.select("source", "at", carried.alias("id"), _cost(F.col("z"), [F.col("usual") + f for f in of(lds, lpx)]).alias("costs"))
     found = segment(rows, len(WRITTEN_IN))
-    pixels = F.transform("id.values", lambda v: v * F.exp(-F.get("id.factors", F.col("level"))))
+    factor = F.exp(-F.get(F.array(*of(F.col("id.lds"), F.col("id.lpx"))), "level"))
+    pixels = F.transform("id.values", lambda v: v * factor)
     whole = F.transform(pixels, lambda v: F.round(F.when(F.abs(v) < 9e18, v)).cast("bigint"))
     return found.select("id.stos_id", "id.written", F.col("id.folder").alias("source"), F.get(F.array(*[F.lit(x) for x in WRITTEN_IN]), "level").alias("written_in"), whole.alias("values_px"))
 
@@ -221,17 +222,18 @@ def p5_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     first; the lengths are then read with the factor found. A record whose downsample has no number takes its
     folder's usual factor. A quantity without a finite number has no row.
     """
-    stos = load(spark, sf_dir, "stos_files").dropDuplicates(["stos_id"])
-    factors = materialize(written_downsamples(stos))
+    stos = load(spark, sf_dir, "stos_files")
+    factors = materialize(written_downsamples(stos.select("stos_id", "stos_dir", "recorded_at", "downsample").dropDuplicates(["stos_id"])))
     usual = factors.groupBy("source").agg(F.percentile_approx("factor", 0.5, 1000).alias("usual_factor")).withColumnRenamed("source", "s_source")
-    q = with_quantities(stos).withColumn("folder", F.coalesce("stos_dir", F.lit("")))
     n = F.size("dims")
-    texts = {"mapped_image_dim": F.when(n >= 2, F.slice("dims", n - 1, 2)), "transform_str": F.array("x")}
+    q = with_quantities(stos).select("stos_id", F.coalesce("stos_dir", F.lit("")).alias("folder"), "recorded_at", "pixel_nm", F.when(n >= 2, F.slice("dims", n - 1, 2)).alias("dims"), "x").dropDuplicates(["stos_id"])
+    texts = {"mapped_image_dim": F.col("dims"), "transform_str": F.array("x")}
     long = q.select("stos_id", "folder", F.col("recorded_at").alias("at"), "pixel_nm", F.explode(F.array(*[F.struct(F.lit(k).alias("written"), v.alias("values")) for k, v in texts.items()])).alias("r")).select("*", "r.written", "r.values").drop("r")
     own = factors.select(F.col("stos_id").alias("f_id"), "factor")
     finite = long.filter(F.col("values").isNotNull() & F.forall("values", lambda v: F.coalesce(F.abs(v) < 1.79769e308, F.lit(False))))
     with_factor = finite.join(own, finite["stos_id"] == own["f_id"], "left").join(usual, finite["folder"] == usual["s_source"], "left")
-    lengths = written_lengths(with_factor.withColumn("factor", F.coalesce(F.when(F.col("factor") > 0, F.col("factor")), "usual_factor", F.lit(1.0))))
+    used = F.coalesce(F.when(F.col("factor") > 0, F.col("factor")), "usual_factor", F.lit(1.0))
+    lengths = written_lengths(materialize(with_factor.select("stos_id", "written", "folder", "at", "values", "pixel_nm", used.alias("factor"))))
     named = F.arrays_zip(F.coalesce(*[F.when(F.col("written") == k, F.array(*[F.lit(x) for x in v])) for k, v in WRITTEN.items()]).alias("n"), F.col("values_px").alias("v"))
     lengths = lengths.select("stos_id", "source", "written_in", F.explode(named).alias("r")).select("stos_id", F.col("r.n").alias("field_name"), "source", "written_in", F.col("r.v").alias("value_px"))
     down = factors.select("stos_id", F.lit("downsample").alias("field_name"), "source", "written_in", F.round(F.when(F.col("factor") < 9e18, F.col("factor"))).cast("bigint").alias("value_px"))
