@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,21 +17,24 @@ from lattica.sources.tables import load
 
 #: Scripts written without spaces, each character of which is a word here: Thai, kana, ideographs. Fixed values.
 _ALONE = "฀-๿぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿"
+_SPACELESS = re.compile(f"[{_ALONE}]")
 _WORDS = re.compile(rf"[{_ALONE}]|[^\W_{_ALONE}]+")
 #: Characters that show nothing: soft hyphen, zero width marks, byte order mark. Fixed values.
 _UNSEEN = ("­", "​", "‌", "‍", "⁠", "﻿")
-#: Words of a searched phrase.
+#: Words of a searched phrase; twice as many in an item written mostly without spaces, where a word is one character.
 PHRASE = 3
-#: Share of an item's characters that a document must hold. A leak holds a half, a mere quotation less than a third.
-LEAST_SHARE = 0.42
-#: Altered words in a row that a match passes over.
-ALTERED = 2
+#: Share of an item's characters that a document must hold.
+LEAST_SHARE = 0.5
+#: Altered words in a row that a match passes over: single ones.
+ALTERED = 1
 #: Words between places that still are neighbours.
 NEIGHBOURS = 400
 #: Symbols of a shard; a longer document is a shard of its own.
 SHARD = 1 << 20
-#: Test items searched at a time.
-BLOCK = 5_000
+#: Words of the test items searched in one pass over the documents.
+ITEM_WORDS = 4_000_000
+#: Phrases searched at a time, and the items above which a phrase is a stock phrase.
+SEARCHED, STOCK = 500_000, 16
 
 
 def words(text: str | None) -> list[str]:
@@ -60,8 +64,9 @@ class Phrases:
         self.totals = np.array([w.sum() for w in self.weights])
         # Items shorter than a phrase are one phrase each.
         seen: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k, c in enumerate(coded):
-            size = min(phrase, len(c))
+        for k, (t, c) in enumerate(zip(texts, coded, strict=True)):
+            spaceless = 2 * sum(len(w) == 1 and _SPACELESS.match(w) is not None for w in t) > len(t)
+            size = min(phrase * (1 + spaceless), len(c))
             for i in range(len(c) - size + 1 if size else 0):
                 seen.setdefault(tuple(c[i : i + size].tolist()), []).append((k, i))
         self.groups = []
@@ -69,6 +74,15 @@ class Phrases:
             own = [(p, at) for p, at in seen.items() if len(p) == size]
             flat = np.array([x for _, at in own for x in at], np.int64).reshape(-1, 2)
             self.groups.append((np.array([p for p, _ in own], np.int64), np.cumsum([0, *(len(at) for _, at in own)]), flat))
+        # What the stock phrases of an item cover, with words passed over: if that is less than the least share, its other
+        # phrases must match too.
+        covered = np.zeros(self.start[-1] + 1, bool)
+        for phrases, bounds, uses in self.groups:
+            stock = uses[np.repeat(np.diff(bounds) > STOCK, np.diff(bounds))]
+            for d in range(phrases.shape[1] + ALTERED):
+                covered[np.minimum(self.start[stock[:, 0]] + stock[:, 1] + d, self.start[stock[:, 0] + 1] - 1)] = True
+        reach = np.concatenate([[0.0], np.cumsum(self.all_weights * covered[:-1])])
+        self.by_stock = (reach[self.start[1:]] - reach[self.start[:-1]]) / np.maximum(self.totals, 1)
 
     def code(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
@@ -91,18 +105,23 @@ def shared(item: np.ndarray, place: np.ndarray, size: int, weights: np.ndarray)
     runs = sorted(zip(place[first].tolist(), item[first].tolist(), (place[last] + size).tolist(), (item[last] + size).tolist(), strict=True))
     best: list[float] = []
     came: list[int] = []
+    near: list[int] = []
     for k, (p0, i0, p1, i1) in enumerate(runs):
         gain = total[i1] - total[i0]
         top, back = gain, -1
-        for j, ((_, _, q1, j1), b) in enumerate(zip(runs[:k], best, strict=True)):
+        # Stretches too far behind are behind for all that follow, so each meets only those of its neighbourhood.
+        near = [j for j in near if p0 - runs[j][2] <= NEIGHBOURS]
+        for j in near:
+            _, _, q1, j1 = runs[j]
             # Stretches may touch by a word or two of both; what overlaps counts once.
             over = max(0, j1 - i0, q1 - p0)
-            if i1 > j1 and p1 > q1 and over < i1 - i0 and p0 - q1 <= NEIGHBOURS:
-                joined = b + total[i1] - total[i0 + over]
+            if i1 > j1 and p1 > q1 and over < i1 - i0:
+                joined = best[j] + total[i1] - total[i0 + over]
                 if joined > top:
                     top, back = joined, j
         best.append(top)
         came.append(back)
+        near.append(k)
     at = int(np.argmax(best)) if best else -1
     share, chain = (best[at] / total[-1] if best else 0.0), []
     while at >= 0:
@@ -111,6 +130,13 @@ def shared(item: np.ndarray, place: np.ndarray, size: int, weights: np.ndarray)
     return share, chain[::-1]
 
 
+def _uses(doc: np.ndarray, place: np.ndarray, phrase: np.ndarray, bounds: np.ndarray, uses: np.ndarray, group: int) -> np.ndarray:
+    """Columns (document, item, place in the item, place, group) of each occurrence of a phrase with each of its uses in items."""
+    used = np.diff(bounds)[phrase]
+    use = np.arange(int(used.sum())) - np.repeat(np.cumsum(used) - used, used) + np.repeat(bounds[phrase], used)
+    return np.stack([np.repeat(doc, used), uses[use, 0], uses[use, 1], np.repeat(place, used), np.full(len(use), group)])
+
+
 class Shard:
     """Documents whose index is built and searched when it is full."""
 
@@ -136,19 +162,32 @@ class Shard:
         if not symbols.any():
             return
         index = FMIndex(np.append(symbols, 0), self.phrases.bits)
-        rows = []
+        n = len(self.phrases.ids)
+        stocked = self.phrases.by_stock >= least
+        rows, stock = [], []
         for k, (phrases, bounds, uses) in enumerate(self.phrases.groups):
-            low, high = index.search(phrases)
-            count = high - low
-            phrase = np.repeat(np.arange(len(phrases)), count)
-            row = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count) + low[phrase]
-            place = kept[index.locate(row)]
-            used = np.diff(bounds)[phrase]
-            use = np.arange(int(used.sum())) - np.repeat(np.cumsum(used) - used, used) + np.repeat(bounds[phrase], used)
-            place = np.repeat(place, used)
-            rows.append(np.stack([np.searchsorted(starts, place, "right") - 1, uses[use, 0], uses[use, 1], place, np.full(len(use), k)]))
+            for low_phrase in range(0, len(phrases), SEARCHED):
+                low, high = index.search(phrases[low_phrase : low_phrase + SEARCHED])
+                count = high - low
+                hit = np.repeat(np.arange(len(low)), count)
+                row = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count) + low[hit]
+                phrase, place = hit + low_phrase, kept[index.locate(row)]
+                doc = np.searchsorted(starts, place, "right") - 1
+                many = np.diff(bounds)[phrase] > STOCK
+                rows.append(_uses(doc[~many], place[~many], phrase[~many], bounds, uses, k))
+                if many.any():
+                    stock.append((k, doc[many], place[many], phrase[many]))
+        # Stock phrases stand in many items: their matches are taken for the items that consist of them, and for pairs
+        # that other phrases have met. No other pair can reach the least share.
+        met = np.unique(np.concatenate([r[0] * n + r[1] for r in rows]))
+        for k, doc, place, phrase in stock:
+            phrases, bounds, uses = self.phrases.groups[k]
+            for low_row in range(0, len(doc), 4096):
+                part = _uses(*(x[low_row : low_row + 4096] for x in (doc, place, phrase)), bounds, uses, k)
+                pair = part[0] * n + part[1]
+                at = np.minimum(np.searchsorted(met, pair), max(len(met) - 1, 0))
+                rows.append(part[:, stocked[part[1]] | ((met[at] == pair) if len(met) else False)])
         doc, item, at, place, group = np.concatenate(rows, axis=1)
-        n = len(self.phrases.ids)
         pair = doc * n + item
         order = np.argsort(pair, kind="stable")
         pair, at, place, group = pair[order], at[order], place[order], group[order]
@@ -247,14 +286,21 @@ def merged_spans(found: DataFrame) -> DataFrame:
 
 
 def all_leaks(spark: SparkSession, sf_dir: str, least: float = LEAST_SHARE) -> DataFrame:
-    """The test items, a small table, are read in blocks of a fixed size; the documents once a block."""
+    """``leaks`` of all test items; up to ``ITEM_WORDS`` words of them are searched in one pass over the documents.
+
+    The test items, unlike the documents, pass through the driver. An item_id that comes again is the same item.
+    """
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    items = [(r.item_id, r.text) for r in load(spark, sf_dir, "eval_items").select("item_id", "text").dropDuplicates(["item_id"]).orderBy("item_id").toLocalIterator()]
-    found = [leaks(docs, items[k : k + BLOCK], least) for k in range(0, max(len(items), 1), BLOCK)]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    blocks: list[list[tuple[int, str]]] = [[]]
+    held = 0
+    for r in load(spark, sf_dir, "eval_items").select("item_id", "text").dropDuplicates(["item_id"]).orderBy("item_id").toLocalIterator():
+        size = len(words(r.text))
+        if held and held + size > ITEM_WORDS:
+            blocks.append([])
+            held = 0
+        blocks[-1].append((r.item_id, r.text))
+        held += size
+    return reduce(DataFrame.unionByName, [leaks(docs, b, least) for b in blocks])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

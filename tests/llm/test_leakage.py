@@ -96,3 +96,22 @@ def test_spans_point_at_the_leak(spark):
     assert [texts[1][a:b].split()[0] for d, a, b, _ in rows if d == 1] == ["Order", ITEM.split()[14]]
     for t in texts:
         assert [L.words(t[a:b])[0] for a, b in L.word_places(t)] == L.words(t)
+
+
+def test_stock_phrases_change_no_result(monkeypatch):
+    rng = random.Random(8)
+    stock = ["which of the following is true", "in the year of the report", "given the table above answer"]
+    items = [(i, " ".join(rng.choice([*stock, *(f"w{rng.randint(0, 300)}" for _ in range(4))]) for _ in range(rng.randint(3, 9)))) for i in range(120)]
+    docs = [" ".join([*(f"w{rng.randint(0, 300)}" for _ in range(30)), rng.choice(items)[1], *rng.choices(stock, k=6), f"w{rng.randint(0, 300)}"]) for _ in range(60)]
+
+    def pairs():
+        phrases = L.Phrases(items)
+        shard = L.Shard(phrases)
+        for d in docs:
+            shard.add(phrases.code(d))
+        return {(d, i, round(s, 9)) for d, i, s, _ in shard.found(0.5)}
+
+    with_stock = pairs()
+    monkeypatch.setattr(L, "STOCK", 10**9)
+    monkeypatch.setattr(L, "SEARCHED", 7)
+    assert with_stock == pairs() and len(with_stock) >= 60
