@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import leakage, packing, percentiles, sentences
+from lattica.llm import event_model, leakage, packing, percentiles, sentences
 
 
 SQL = {
@@ -24,7 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_fill": packing.p6_fill,
         "p7_found": leakage.p7_found,
         "p7_spans": leakage.p7_spans,
+        "p8_method": event_model.p8_method,
         "p8_found": sentences.p8_found,
+        "p8_agreement": event_model.p8_agreement,
     }
 
 
