@@ -31,6 +31,8 @@ _THAI = "฀-๿"
 _TOKEN = re.compile(
     rf"\n[^\S\n]*\n\s*|\n|(?<=[{_THAI}])[^\S\n]+(?=[{_THAI}])|\d+(?:[.,]\d+)*|[{_ALONE}]|[ऀ-ॣॱ-ॿ‌‍]+|[^\W\d_{_ALONE}ऀ-ॿ]+(?:['’][^\W\d_]+)*|\S"
 )
+#: The same with all other white space, so that the tokens tile the text.
+_TILED = re.compile(_TOKEN.pattern + r"|[^\S\n]+")
 #: Share of all words that a word, and a pair of words, must have to count on its own; at least ``LEAST_COUNT`` times.
 WORD_SHARE, PAIR_SHARE, LEAST_COUNT = 2.0**-19, 2.0**-22, 3
 EM_ROUNDS = 4
@@ -41,6 +43,8 @@ _STOPS, _PURE = ".．|", "!?。！？｡।॥"
 #: By what a word is: how probable a boundary is behind it before any count, and the weight of that against a count.
 PRIOR = {"stop": (0.5, 0.0), "pure": (0.95, 1.0), "line": (0.3, 0.0), "space": (0.99, 10.0), "other": (1e-3, 10.0)}
 _BITS = 20
+#: Stands for white space that is no token.
+_SKIP = -1
 #: Words coded at a time.
 CHUNK = 1_000_000
 _EDGE = "<edge>"
@@ -59,6 +63,8 @@ class Vocabulary:
     def __init__(self, words: list[str]) -> None:
         self.words = [_EDGE, "<par>", "<line>", "<space>", *words]
         self.of = {w: i for i, w in enumerate(self.words)}
+        #: Words that may be Thai letters: those, and classes.
+        self.thai = np.array(["\u0e00" <= w[0] <= "\u0e7f" or w[0] == "<" and len(w) > 1 for w in self.words])
 
     def code(self, tokens: list[str], known: dict[str, int]) -> list[int]:
         """Numbers of ``tokens``; ``known`` remembers those met before."""
@@ -102,26 +108,39 @@ class Model(NamedTuple):
         at = np.minimum(np.searchsorted(self.pair, key), max(len(self.pair) - 1, 0))
         return at, (self.pair[at] == key) if len(self.pair) else np.zeros(len(key), bool)
 
-    def factors(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """P(<s> | u, v), P(<s> | <s>, v), P(w | <s>) and P(w | v) for triples of words."""
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """By word: P(<s> | v) and P(<s> | <s>, v), P(w | <s>) with and without white space, P(w), how often v runs on, and its loose weight."""
         k, n, size = BACK_OFF, max(self.word_n.sum(), 1.0), len(self.word_n)
         plain = (self.word_n + 0.5) / (n + 0.5 * size)
         held = k + self.trust * self.word_open
         after = (self.word_after + held * self.guess) / (self.word_open + held)
         began = self.word_first[:size] + self.word_first[size:]
-        lone = (self.word_lone + k * 0.1 * after) / (began + k)
+        lone = np.clip((self.word_lone + k * 0.1 * after) / (began + k), 1e-9, 1 - 1e-9)
         sums = self.word_first.reshape(2, size).sum(axis=1, keepdims=True)
         first = ((self.word_first.reshape(2, size) + 10 * k * plain) / (sums + 10 * k)).ravel()
         within = np.maximum(self.word_n - self.word_after, 0.0)
-        at, there = self._pairs(u, v)
-        of, held = (self.pair_open[at] * there, k + self.trust[v] * self.pair_open[at] * there) if len(self.pair) else (0.0, k)
-        s0 = ((self.pair_after[at] * there if len(self.pair) else 0.0) + held * after[v]) / (of + held)
-        at, there = self._pairs(v, w)
-        seen = np.where(there, np.maximum(self.pair_n[at] - self.pair_between[at], 0.0), 0.0) if len(self.pair) else np.zeros(len(v))
         # Behind a sign or break the sentence runs on with any word, so what was counted there weighs only half.
-        loose = k + self.word_rare[v] + np.where(self.guess[v] > PRIOR["other"][0], within[v], 0.0)
-        word = (seen + loose * plain[w]) / (within[v] + loose)
-        return np.clip(s0, 1e-9, 1 - 1e-9), np.clip(lone[v], 1e-9, 1 - 1e-9), first[w + size * (v > 3)], word
+        loose = k + self.word_rare + np.where(self.guess > PRIOR["other"][0], within, 0.0)
+        return after, lone, first, plain, within, loose
+
+    def factors(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, tables: tuple[np.ndarray, ...], chained: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """P(<s> | u, v), P(<s> | <s>, v), P(w | <s>) and P(w | v) for triples of words; ``chained`` ones follow one another."""
+        after, lone, first, plain, within, loose = tables
+        size = len(self.word_n)
+        if len(self.pair):
+            at_vw, there_vw = self._pairs(v, w)
+            at_uv, there_uv = self._pairs(u[:1] if chained else u, v[:1] if chained else v)
+            if chained:
+                at_uv, there_uv = np.append(at_uv, at_vw[:-1]), np.append(there_uv, there_vw[:-1])
+            open_ = np.where(there_uv, self.pair_open[at_uv], 0.0)
+            ended = np.where(there_uv, self.pair_after[at_uv], 0.0)
+            seen = np.where(there_vw, np.maximum(self.pair_n[at_vw] - self.pair_between[at_vw], 0.0), 0.0)
+        else:
+            open_ = ended = seen = np.zeros(len(v))
+        held = BACK_OFF + self.trust[v] * open_
+        s0 = np.clip((ended + held * after[v]) / (open_ + held), 1e-9, 1 - 1e-9)
+        word = (seen + loose[v] * plain[w]) / (within[v] + loose[v])
+        return s0, lone[v], first[w + size * (v > 3)], word
 
 
 #: Events that are known: none before white space or within the edge, one behind a blank line and at a text's end.
@@ -130,15 +149,15 @@ def _known(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return never, ((v == 1) | (w == 0)) & ~never
 
 
-def expected(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+def expected(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray, tables: tuple[np.ndarray, ...]) -> np.ndarray:
     """Probability of an event between v and w, the one before being none."""
-    s0, _, first, word = model.factors(u, v, w)
+    s0, _, first, word = model.factors(u, v, w, tables)
     p = s0 * first / (s0 * first + (1 - s0) * word)
     never, sure = _known(v, w)
     return np.where(never, 0.0, np.where(sure, 1.0, p))
 
 
-def posteriors(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray, width: int = 64) -> np.ndarray:
+def posteriors(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray, tables: tuple[np.ndarray, ...] | None = None, width: int = 64) -> np.ndarray:
     """Posterior of the event between v and w for all gaps of whole texts in order, by forward-backward.
 
     A gap is a matrix from the event before to its own. The chain is cut into stretches whose matrices are multiplied in
@@ -147,7 +166,7 @@ def posteriors(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray, width:
     n = len(v)
     if not n:
         return np.zeros(0)
-    s0, s1, first, word = model.factors(u, v, w)
+    s0, s1, first, word = model.factors(u, v, w, tables or model.tables(), chained=True)
     never, sure = _known(v, w)
     rows = -(-n // width)
 
@@ -200,9 +219,12 @@ def posteriors(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray, width:
 
 def _triples(coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """u, v, w of each gap of some texts, edges included: a text's last gap is that to its edge."""
-    flat = np.fromiter((x for t in coded for x in (0, *t)), np.int64, sum(map(len, coded)) + len(coded))
-    v = flat
-    return np.append(0, flat[:-1]), v, np.append(flat[1:], 0)
+    flat: list[int] = []
+    for t in coded:
+        flat.append(0)
+        flat += t
+    v = np.array(flat, np.int64)
+    return np.append(0, v[:-1]), v, np.append(v[1:], 0)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -336,6 +358,7 @@ def train(docs: DataFrame, rounds: int = EM_ROUNDS) -> tuple[Vocabulary, Model]:
 def _round(triples: DataFrame, model: Model) -> Model:
     """One round of expectation maximisation: expected events of all triples, summed by pair and word."""
     share = np.where(model.pair_n > 0, model.pair_between / np.maximum(model.pair_n, 1), 0.0)
+    tables = model.tables()
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = (1 << _BITS) - 1
@@ -345,7 +368,7 @@ def _round(triples: DataFrame, model: Model) -> Model:
             uv, w, n = (np.concatenate([np.array(b.column(k)) for b in held]) for k in range(3))
             held.clear()
             u, v = uv >> _BITS, uv & mask
-            p = expected(model, u, v, w) * n
+            p = expected(model, u, v, w, tables) * n
             at, there = model._pairs(u, v)
             # What begins sentences is learned behind signs and breaks, or any rare word would come to.
             plainly = model.guess[v] > PRIOR["other"][0]
@@ -381,25 +404,45 @@ def _round(triples: DataFrame, model: Model) -> Model:
     return model._replace(pair_after=out[_AFTER], pair_between=out[_BETWEEN], word_after=out[_WORD_AFTER], word_first=out[_WORD_FIRST], word_lone=out[_WORD_LONE])
 
 
-def split(texts: list[str], words: Vocabulary, model: Model, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split(texts: list[str], words: Vocabulary, model: Model, known: dict[str, int], tables: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text's number, start, end) of the sentences of some texts, in code points, without surrounding white space."""
-    coded, spans = [], []
+    # White space outside Thai is no token, but tiles the text: tokens lie where the lengths of all before them say.
+    flat: list[str] = []
+    size = []
     for t in texts:
-        found = list(_TOKEN.finditer(t))
-        coded.append(words.code([m.group() for m in found], known))
-        spans.append(np.array([(0, 0), *(m.span() for m in found)], np.int64))
-    u, v, w = _triples(coded)
-    ends = posteriors(model, u, v, w) > 0.5
-    span = np.concatenate(spans)
-    doc = np.repeat(np.arange(len(texts)), [len(s) for s in spans])
-    blank = v <= 3
+        found = _TILED.findall(t)
+        size.append(len(found))
+        flat += found
+    length = np.fromiter(map(len, flat), np.int64, len(flat))
+    code = np.array(words.code(flat, known), np.int64)
+    doc = np.repeat(np.arange(len(texts)), size)
+    end = np.cumsum(length)
+    begun = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1]
+    end -= begun[doc]
+    start = end - length
+    space = np.flatnonzero(code == 3)
+    if len(space):
+        # Only a blank between two Thai letters is a token; the classes of rare words are looked at one by one.
+        before, behind = np.maximum(space - 1, 0), np.minimum(space + 1, len(flat) - 1)
+        between = words.thai[code[before]] & words.thai[code[behind]] & (doc[before] == doc[space]) & (doc[behind] == doc[space])
+        for i in np.flatnonzero(between).tolist():
+            between[i] = all("\u0e00" <= flat[x][:1] <= "\u0e7f" for x in (before[i], behind[i]))
+        code[space[~between]] = _SKIP
+    kept = code != _SKIP
+    code, doc, start, end = code[kept], doc[kept], start[kept], end[kept]
+    # Each text begins with an edge.
+    head = np.searchsorted(doc, np.arange(len(texts)))
+    v = np.insert(code, head, 0)
+    ends = posteriors(model, np.append(0, v[:-1]), v, np.append(v[1:], 0), tables) > 0.5
+    events = np.delete(ends, head + np.arange(len(texts)))
     # A sentence runs from the first to the last token that shows between two events.
-    sentence = np.append(0, np.cumsum(ends)[:-1])
-    shown = np.flatnonzero(~blank)
-    head = np.append(True, (sentence[shown][1:] != sentence[shown][:-1]) | (doc[shown][1:] != doc[shown][:-1])) if len(shown) else np.zeros(0, bool)
-    starts = shown[head]
-    lasts = shown[np.append(np.flatnonzero(head)[1:] - 1, len(shown) - 1)] if len(starts) else starts
-    return doc[starts], span[starts, 0], span[lasts, 1]
+    sentence = np.append(0, np.cumsum(events)[:-1]) if len(events) else events
+    shown = np.flatnonzero(code > 3)
+    if not len(shown):
+        return doc[:0], start[:0], end[:0]
+    first = np.append(True, (sentence[shown][1:] != sentence[shown][:-1]) | (doc[shown][1:] != doc[shown][:-1]))
+    lasts = shown[np.append(np.flatnonzero(first)[1:] - 1, len(shown) - 1)]
+    return doc[shown[first]], start[shown[first]], end[lasts]
 
 
 def sentences(docs: DataFrame, words: Vocabulary, model: Model) -> DataFrame:
@@ -407,8 +450,9 @@ def sentences(docs: DataFrame, words: Vocabulary, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+        tables = model.tables()
         for ids, texts in _texts(batches):
-            doc, start, end = split(texts, words, model, known)
+            doc, start, end = split(texts, words, model, known, tables)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "start_pos", "end_pos"])
 
     return docs.mapInArrow(run, "doc_id bigint, start_pos int, end_pos int")

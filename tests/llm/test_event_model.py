@@ -18,7 +18,7 @@ def test_posteriors_like_all_paths():
     for n in (1, 2, 5, 9):
         m = model(rng)
         u, v, w = E._triples([rng.integers(4, 12, n).tolist()])
-        s0, s1, first, word = m.factors(u, v, w)
+        s0, s1, first, word = m.factors(u, v, w, m.tables())
         never, sure = E._known(v, w)
         total, yes = 0.0, np.zeros(len(v))
         for path in itertools.product((0, 1), repeat=len(v)):
@@ -30,7 +30,7 @@ def test_posteriors_like_all_paths():
             total += p
             yes += p * np.array(path)
         for width in (2, 64):
-            assert np.allclose(E.posteriors(m, u, v, w, width), yes / total)
+            assert np.allclose(E.posteriors(m, u, v, w, width=width), yes / total)
 
 
 def test_texts_follow_one_another():
@@ -38,7 +38,7 @@ def test_texts_follow_one_another():
     m = model(rng)
     texts = [rng.integers(4, 12, k).tolist() for k in (3, 40, 1, 200)]
     alone = np.concatenate([E.posteriors(m, *E._triples([t])) for t in texts])
-    assert np.allclose(alone, E.posteriors(m, *E._triples(texts), 16))
+    assert np.allclose(alone, E.posteriors(m, *E._triples(texts), width=16))
 
 
 def corpus(rng, n):
