@@ -28,11 +28,12 @@ from lattica.sources.tables import load, materialize
 _ALONE = "฀-๿぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿"
 _THAI = "฀-๿"
 #: Words and signs: blank lines, line breaks, spaces between Thai letters, numbers, letters of scripts without spaces, words, others.
+_LETTERS = "a-zA-ZÀ-ÖØ-öø-ɏЀ-ӿ"
 _TOKEN = re.compile(
-    rf"\n[^\S\n]*\n\s*|\n|(?<=[{_THAI}])[^\S\n]+(?=[{_THAI}])|\d+(?:[.,]\d+)*|[{_ALONE}]|[ऀ-ॣॱ-ॿ‌‍]+|[^\W\d_{_ALONE}ऀ-ॿ]+(?:['’][^\W\d_]+)*|\S"
+    rf"[{_LETTERS}]+(?:['’][{_LETTERS}]+)*|\d+(?:[.,]\d+)*|\n(?:[^\S\n]*\n\s*)?|[!-/:-@\[-`{{-~]|[{_ALONE}]|[ऀ-ॣॱ-ॿ\u200c\u200d]+|[^\W\d_{_ALONE}ऀ-ॿ{_LETTERS}]+|(?<=[{_THAI}])[^\S\n]+(?=[{_THAI}])|\S"
 )
 #: The same with all other white space, so that the tokens tile the text.
-_TILED = re.compile(_TOKEN.pattern + r"|[^\S\n]+")
+_TILED = re.compile(rf" (?![{_THAI}\s])|{_TOKEN.pattern}|[^\S\n]+")
 #: Share of all words that a word, and a pair of words, must have to count on its own; at least ``LEAST_COUNT`` times.
 WORD_SHARE, PAIR_SHARE, LEAST_COUNT = 2.0**-19, 2.0**-22, 3
 EM_ROUNDS = 4
@@ -43,8 +44,6 @@ _STOPS, _PURE = ".．|", "!?。！？｡।॥"
 #: By what a word is: how probable a boundary is behind it before any count, and the weight of that against a count.
 PRIOR = {"stop": (0.5, 0.0), "pure": (0.95, 1.0), "line": (0.3, 0.0), "space": (0.99, 10.0), "other": (1e-3, 10.0)}
 _BITS = 20
-#: Stands for white space that is no token.
-_SKIP = -1
 #: Words coded at a time.
 CHUNK = 1_000_000
 _EDGE = "<edge>"
@@ -217,16 +216,6 @@ def posteriors(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray, tables
     return out.T.ravel()[:n]
 
 
-def _triples(coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """u, v, w of each gap of some texts, edges included: a text's last gap is that to its edge."""
-    flat: list[int] = []
-    for t in coded:
-        flat.append(0)
-        flat += t
-    v = np.array(flat, np.int64)
-    return np.append(0, v[:-1]), v, np.append(v[1:], 0)
-
-
 def _texts(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[pa.Array, list[str]]]:
     """Texts of (doc_id, text) that have any, with their ids, some ``size`` characters at a time."""
     for batch in batches:
@@ -281,7 +270,7 @@ _TRIPLE = "uv bigint, w bigint, n bigint"
 
 
 def triple_counts(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """(uv, w, n): how often each triple of words stands in all documents; uv holds two words."""
+    """(uv, w, n): how often each triple of words stands in all documents, edges included; uv holds two words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -295,8 +284,13 @@ def triple_counts(docs: DataFrame, words: Vocabulary) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(own >> _BITS), pa.array(own & ((1 << _BITS) - 1)), pa.array(total)], ["uv", "w", "n"])
 
         for _, texts in _texts(batches):
-            u, v, w = _triples([words.code(_TOKEN.findall(t), known) for t in texts])
-            held.append(np.unique((u << 2 * _BITS) | (v << _BITS) | w, return_counts=True))
+            flat: list[int] = []
+            for t in texts:
+                flat.append(0)
+                flat += words.code(_TOKEN.findall(t), known)
+            v = np.array(flat, np.int64)
+            key = (np.append(0, v[:-1]) << 2 * _BITS) | (v << _BITS) | np.append(v[1:], 0)
+            held.append(np.unique(key, return_counts=True))
             if sum(len(k) for k, _ in held) > 4 * CHUNK:
                 yield passed()
         if held:
@@ -308,9 +302,8 @@ def triple_counts(docs: DataFrame, words: Vocabulary) -> DataFrame:
 _AFTER, _BETWEEN, _WORD_AFTER, _WORD_FIRST, _WORD_LONE = range(5)
 
 
-def train(docs: DataFrame, rounds: int = EM_ROUNDS) -> tuple[Vocabulary, Model]:
-    """Vocabulary and model of all documents (doc_id, text)."""
-    words, total = vocabulary(docs)
+def train(docs: DataFrame, words: Vocabulary, total: int, rounds: int = EM_ROUNDS) -> Model:
+    """The model of all documents (doc_id, text), of ``total`` words."""
     size = len(words.words)
     triples = materialize(triple_counts(docs, words))
     least = max(LEAST_COUNT, int(total * PAIR_SHARE))
@@ -352,7 +345,7 @@ def train(docs: DataFrame, rounds: int = EM_ROUNDS) -> tuple[Vocabulary, Model]:
     model = Model(pair, pair_n, guess[v] * pair_open, between, word_n, guess * word_open, begin, np.zeros(size), guess, trust, pair_open, word_open, rare)
     for _ in range(rounds):
         model = _round(triples, model)
-    return words, model
+    return model
 
 
 def _round(triples: DataFrame, model: Model) -> Model:
@@ -404,8 +397,8 @@ def _round(triples: DataFrame, model: Model) -> Model:
     return model._replace(pair_after=out[_AFTER], pair_between=out[_BETWEEN], word_after=out[_WORD_AFTER], word_first=out[_WORD_FIRST], word_lone=out[_WORD_LONE])
 
 
-def split(texts: list[str], words: Vocabulary, model: Model, known: dict[str, int], tables: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text's number, start, end) of the sentences of some texts, in code points, without surrounding white space."""
+def tokens(texts: list[str], words: Vocabulary, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number, text, start and end of each token of some texts, in order."""
     # White space outside Thai is no token, but tiles the text: tokens lie where the lengths of all before them say.
     flat: list[str] = []
     size = []
@@ -416,25 +409,27 @@ def split(texts: list[str], words: Vocabulary, model: Model, known: dict[str, in
     length = np.fromiter(map(len, flat), np.int64, len(flat))
     code = np.array(words.code(flat, known), np.int64)
     doc = np.repeat(np.arange(len(texts)), size)
-    end = np.cumsum(length)
     begun = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1]
-    end -= begun[doc]
-    start = end - length
+    end = np.cumsum(length) - begun[doc]
     space = np.flatnonzero(code == 3)
+    kept = np.ones(len(code), bool)
     if len(space):
         # Only a blank between two Thai letters is a token; the classes of rare words are looked at one by one.
         before, behind = np.maximum(space - 1, 0), np.minimum(space + 1, len(flat) - 1)
         between = words.thai[code[before]] & words.thai[code[behind]] & (doc[before] == doc[space]) & (doc[behind] == doc[space])
         for i in np.flatnonzero(between).tolist():
             between[i] = all("\u0e00" <= flat[x][:1] <= "\u0e7f" for x in (before[i], behind[i]))
-        code[space[~between]] = _SKIP
-    kept = code != _SKIP
-    code, doc, start, end = code[kept], doc[kept], start[kept], end[kept]
+        kept[space[~between]] = False
+    return code[kept], doc[kept], (end - length)[kept], end[kept]
+
+
+def marked(code: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, texts: int, model: Model, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, start, end) of the sentences of the ``tokens`` of some texts."""
     # Each text begins with an edge.
-    head = np.searchsorted(doc, np.arange(len(texts)))
+    head = np.searchsorted(doc, np.arange(texts))
     v = np.insert(code, head, 0)
     ends = posteriors(model, np.append(0, v[:-1]), v, np.append(v[1:], 0), tables) > 0.5
-    events = np.delete(ends, head + np.arange(len(texts)))
+    events = np.delete(ends, head + np.arange(texts))
     # A sentence runs from the first to the last token that shows between two events.
     sentence = np.append(0, np.cumsum(events)[:-1]) if len(events) else events
     shown = np.flatnonzero(code > 3)
@@ -445,6 +440,11 @@ def split(texts: list[str], words: Vocabulary, model: Model, known: dict[str, in
     return doc[shown[first]], start[shown[first]], end[lasts]
 
 
+def split(texts: list[str], words: Vocabulary, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, start, end) of the sentences of some texts, in code points, without surrounding white space."""
+    return marked(*tokens(texts, words, {}), len(texts), model, model.tables())
+
+
 def sentences(docs: DataFrame, words: Vocabulary, model: Model) -> DataFrame:
     """(doc_id, start_pos, end_pos) of the sentences of documents (doc_id, text). An empty or null text has none."""
 
@@ -452,15 +452,21 @@ def sentences(docs: DataFrame, words: Vocabulary, model: Model) -> DataFrame:
         known: dict[str, int] = {}
         tables = model.tables()
         for ids, texts in _texts(batches):
-            doc, start, end = split(texts, words, model, known, tables)
+            doc, start, end = marked(*tokens(texts, words, known), len(texts), model, tables)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "start_pos", "end_pos"])
 
     return docs.mapInArrow(run, "doc_id bigint, start_pos int, end_pos int")
 
 
+def hidden_event_sentences(docs: DataFrame) -> DataFrame:
+    """Sentences of documents (doc_id, text) by a model trained on all of them."""
+    words, total = vocabulary(docs)
+    return sentences(docs, words, train(docs, words, total))
+
+
 def p8_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return sentences(docs, *train(docs))
+    return hidden_event_sentences(docs)
 
 
 def p8_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:

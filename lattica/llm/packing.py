@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from lattica.sources.tables import load, materialize
 
 CAPACITY = 2048
-#: Where the public tokenizers lie, and which one measures texts.
+#: Where the public tokenizers lie, and which one measures texts, unless spark.lattica.tokenizer names another file.
 TOKENIZER_FOLDER = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: Pattern by which the tokenizer cuts a text before it merges, fixed value.
@@ -153,7 +153,9 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(materialize(token_counts(load(spark, sf_dir, "documents").select("doc_id", "text"))))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    path = spark.conf.get("spark.lattica.tokenizer", f"{TOKENIZER_FOLDER}/{TOKENIZER}")
+    return pack(materialize(token_counts(docs, path)))
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,10 +28,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lattica.sources.tables import load, materialize
 
-#: Sample of ``training_texts``: texts, chosen by hash of doc_id, and the length up to which a text is taken.
-SAMPLE_TEXTS = 3_000
-SAMPLE_LENGTH = 20_000
 EM_ROUNDS = 6
+#: Characters at the end of a word that tell it from others before a stop: longer than any abbreviation.
+WORD_END = 40
 
 #: Words whose stop mostly is part of the word, fixed values: a prior for the model's counts.
 ABBREVIATIONS = frozenset(
@@ -98,7 +97,7 @@ def _right(text: str, at: int) -> str:
     if not m:
         return ""
     word = m.group()
-    return _DIGITS.sub("9", word) if len(word) < 40 else word[:40]
+    return _DIGITS.sub("9", word)
 
 
 class Gap:
@@ -274,12 +273,13 @@ def _heading(text: str, line: str, nxt: int, kind: str) -> bool:
     """Whether a line break has a heading in capitals on one side; lines in capitals on both are a text in capitals."""
     here, there = _capitals(line), _capitals(after := _line(text, nxt))
     title = after if there else line
-    return here != there and (there or kind == "line") and len(title) < 80 and title[-1] not in ".,;"
+    return here != there and (there or kind == "line") and title[-1] not in ".,;"
 
 
 def _left(text: str, start: int, end: int, kind: str, breaks: int, out: list[Gap]) -> tuple[str, bool]:
     """Key of what precedes a gap, and whether the gap before lies only one word back."""
-    lowest = max(0, start - 40, out[-1].next if out and out[-1].next == out[-1].end and out[-1].kind == "stop" and out[-1].fixed is None and len(out[-1].left) > 4 else 0)
+    # A word counts by its last ``WORD_END`` characters.
+    lowest = max(0, start - WORD_END, out[-1].next if out and out[-1].next == out[-1].end and out[-1].kind == "stop" and out[-1].fixed is None and len(out[-1].left) > 4 else 0)
     a = max(lowest, text.rfind(" ", lowest, start) + 1, text.rfind("\n", lowest, start) + 1)
     word = text[a:start]
     cut = max(map(word.rfind, "([{（“„«\"「\t\u00a0\u3000")) + 1
@@ -465,7 +465,7 @@ def _key(raw: str) -> str:
     """Key of a word of running text, as ``_right`` gives it at the word's place."""
     if raw[0] in _OPENING:
         return raw[0] + _shape(raw[1:])
-    return _DIGITS.sub("9", raw) if len(raw) < 40 else raw[:40]
+    return _DIGITS.sub("9", raw)
 
 
 def _tally(text: str, here: list[Gap], counts: Counts) -> None:
@@ -583,13 +583,6 @@ def split(text: str | None, model: Model) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def training_texts(docs: DataFrame) -> list[str]:
-    """The texts of ``SAMPLE_TEXTS`` documents, those of the lowest hash of doc_id, no longer than ``SAMPLE_LENGTH``."""
-    short = docs.filter((F.length("text") > 0) & (F.length("text") <= SAMPLE_LENGTH))
-    ids = [r[0] for r in short.select("doc_id", F.xxhash64("doc_id").alias("h")).filter("doc_id is not null").distinct().orderBy("h", "doc_id").limit(SAMPLE_TEXTS).collect()]
-    return [r.text for r in short.filter(F.col("doc_id").isin(ids)).select("doc_id", "text").orderBy("doc_id", "text").collect()] if ids else []
-
-
 def sentences(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, start_pos, end_pos) of the sentences of documents (doc_id, text)."""
 

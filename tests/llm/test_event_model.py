@@ -13,11 +13,16 @@ def model(rng, size=12):
     return E.Model(pair, n, n * rng.random(len(pair)), n * rng.random(len(pair)), words, words * rng.random(size), rng.random(2 * size) * 9, rng.random(size), rng.random(size), rng.random(size), n, words, rng.random(size))
 
 
+def triples(texts):
+    v = np.array([x for t in texts for x in (0, *t)])
+    return np.append(0, v[:-1]), v, np.append(v[1:], 0)
+
+
 def test_posteriors_like_all_paths():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 9):
         m = model(rng)
-        u, v, w = E._triples([rng.integers(4, 12, n).tolist()])
+        u, v, w = triples([rng.integers(4, 12, n).tolist()])
         s0, s1, first, word = m.factors(u, v, w, m.tables())
         never, sure = E._known(v, w)
         total, yes = 0.0, np.zeros(len(v))
@@ -37,8 +42,8 @@ def test_texts_follow_one_another():
     rng = np.random.default_rng(4)
     m = model(rng)
     texts = [rng.integers(4, 12, k).tolist() for k in (3, 40, 1, 200)]
-    alone = np.concatenate([E.posteriors(m, *E._triples([t])) for t in texts])
-    assert np.allclose(alone, E.posteriors(m, *E._triples(texts), width=16))
+    alone = np.concatenate([E.posteriors(m, *triples([t])) for t in texts])
+    assert np.allclose(alone, E.posteriors(m, *triples(texts), width=16))
 
 
 def corpus(rng, n):
@@ -56,7 +61,7 @@ def test_planted_boundaries(spark):
     rows = corpus(rng, 400)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(-1, None), (-2, ""), (-3, " \n"), (-4, "Alone")], "doc_id bigint, text string")
     got = {}
-    for r in E.sentences(docs, *E.train(docs)).collect():
+    for r in E.hidden_event_sentences(docs).collect():
         got.setdefault(r.doc_id, []).append((r.start_pos, r.end_pos))
     assert {-1, -2, -3}.isdisjoint(got) and got[-4] == [(0, 5)]
     good = sum(len({t[a:b] for a, b in got[i]} & set(s)) for i, t, s in rows)
@@ -71,12 +76,13 @@ def test_boundaries_without_stops(spark):
     rng = random.Random(6)
     rows = corpus(rng, 400)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
-    words, m = E.train(docs)
+    words, total = E.vocabulary(docs)
+    m = E.train(docs, words, total)
     text = "However pump of steel moves with the valve The shaft of steel moves the valve"
-    _, start, end = E.split([text], words, m, {})
+    _, start, end = E.split([text], words, m)
     assert [text[a:b] for a, b in zip(start, end, strict=True)] == ["However pump of steel moves with the valve", "The shaft of steel moves the valve"]
 
 
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
-    assert E.sentences(docs, *E.train(docs)).count() == 0
+    assert E.hidden_event_sentences(docs).count() == 0
