@@ -59,7 +59,7 @@ def tile_offsets(pairs: DataFrame, tiles: DataFrame, images: DataFrame, excess:
     return kernels.rows_to(rows, "a bigint, b bigint, dy double, dx double, weight double", align)
 
 
-def arrange(tiles: DataFrame, images: DataFrame, cell: float, passes: int = 6, first_excess: float = 3.0, excess: float = 1.5, least_overlap: float = 0.02, least_score: float = 0.035, moved: float = 1.0) -> DataFrame:
+def arrange(tiles: DataFrame, images: DataFrame, cell: float, passes: int = 6, first_excess: float = 3.0, excess: float = 1.5, least_overlap: float = 0.02, least_score: float = 0.035, moved: float = 1.0, relax_steps: int = 150) -> DataFrame:
     """Positions of tiles (id, y, x, h, w) that meet the offsets found in their pixels (image_id, h, w, data).
 
     Each pass finds the overlapping pairs, registers those that are new or whose offset changed by ``moved`` or more, keeps
@@ -87,7 +87,7 @@ def arrange(tiles: DataFrame, images: DataFrame, cell: float, passes: int = 6, f
         part = placed.join(tiles.select("id", F.col("y").alias("oy"), F.col("x").alias("ox")), "id")
         shift = part.groupBy("component").agg(F.avg(F.col("oy") - F.col("y")).alias("sy"), F.avg(F.col("ox") - F.col("x")).alias("sx"))
         start = materialize(part.join(shift, "component").select("id", (F.col("y") + F.col("sy")).alias("y"), (F.col("x") + F.col("sx")).alias("x")))
-        relaxed = layout.relax(start, weighted, cutoff=0.1, most=24)
+        relaxed = layout.relax(start, weighted, cutoff=0.1, most=relax_steps)
         known = now
         tiles = materialize(relaxed.join(tiles.select("id", "h", "w"), "id").select("id", "y", "x", "h", "w"))
     return tiles

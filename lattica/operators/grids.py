@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,10 @@ def largest_dimension_scale(h: int, w: int, limit: int) -> float:
 
 def next_power(v: float) -> float:
     return 2.0 ** math.ceil(math.log2(v))
+
+
+def range_columns(start: Column, count: Column, most: Column, least: Column) -> tuple[Column, Column, Column, Column]:
+    """``roi_range`` and ``constrained_range`` as columns: begin and end of the moved range (null if it can't be), then of the cut one."""
+    begin = F.when(count <= most - least, F.least(F.greatest(start, least), most - count))
+    low = F.greatest(start, least)
+    return begin, begin + count, low, F.greatest(low, F.least(start + count, most))

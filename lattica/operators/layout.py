@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,21 +65,22 @@ def relax_step(nodes: DataFrame, edges: DataFrame, step: float = STEP) -> DataFr
 
 
 def relax(nodes: DataFrame, edges: DataFrame, cutoff: float = 0.1, most: int = 500, each: int = 3) -> DataFrame:
-    """Steps until no node's weighted tension exceeds ``cutoff``, at most ``most``; that is asked every ``each`` steps.
+    """Steps until no node's weighted tension exceeds ``cutoff``, at most ``most``, where a warning says so; that is asked every ``each`` steps.
 
     A step reads the nodes three times, so they are written after every one: plans of several steps would grow as powers.
     """
     edges = materialize(edges)
     for k in range(most):
         nodes = materialize(relax_step(nodes, edges))
-        if (k + 1) % each == 0 and k + 1 < most:
+        if (k + 1) % each == 0 or k + 1 == most:
             worst = tensions(nodes, edges).agg(F.max(F.hypot("weighted_y", "weighted_x"))).first()[0]
             if worst is None or worst <= cutoff:
-                break
+                return nodes
+    warnings.warn(f"after {most} steps a tension is still above {cutoff}", stacklevel=2)
     return nodes
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id of each connected part, by labels that jump along edges and along labels.
 
     Each round a node takes the least label around it and then its label's own label, so the number of rounds grows with
@@ -85,18 +88,17 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame
     """
     e = materialize(both_ways(edges).select("a", "b").distinct())
     labels = nodes.select("id", F.col("id").alias("component"))
-    for _ in range(most):
+    while True:
         around = e.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(around, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = lower.select(F.col("id").alias("component"), F.col("component").alias("root"))
         new = materialize(lower.join(jump, "component").select("id", "old", F.least("component", "root").alias("component")))
         labels = new.select("id", "component")
         if new.filter("old <> component").isEmpty():
-            break
-    return labels
+            return labels
 
 
-def strongest_layout(nodes: DataFrame, edges: DataFrame, most: int = 60) -> tuple[DataFrame, DataFrame]:
+def strongest_layout(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes placed along the heaviest edges, and those edges: (id, component, y, x) and the forest (a, b, weight).
 
     Every part of the layout takes its heaviest edge to another part and moves to where that edge puts it, all parts at
@@ -111,7 +113,7 @@ def strongest_layout(nodes: DataFrame, edges: DataFrame, most: int = 60) -> tupl
     live = materialize(one.groupBy("a", "b").agg(F.max(F.struct("weight", "dy", "dx")).alias("e")).select("a", "b", "e.dy", "e.dx", "e.weight"))
     state = nodes.select("id", F.col("id").alias("c"), F.lit(0.0).alias("y"), F.lit(0.0).alias("x"))
     forest = live.select("a", "b", "weight").limit(0)
-    for _ in range(most):
+    while True:
         at = lambda k: state.select(F.col("id").alias(k), F.col("c").alias(f"c{k}"), F.col("y").alias(f"{k}y"), F.col("x").alias(f"{k}x"))  # noqa: E731, B023
         e = live.join(at("a"), "a").join(at("b"), "b").filter("ca <> cb")
         sy, sx = F.col("ay") + F.col("dy") - F.col("by"), F.col("ax") + F.col("dx") - F.col("bx")
@@ -148,3 +150,13 @@ def merge_parts(placed: DataFrame, offsets: DataFrame) -> DataFrame:
     pair = e.groupBy("pa", "pb").agg(F.count("*").alias("n"), F.avg(F.col("ay") + F.col("dy") - F.col("by")).alias("sy"), F.avg(F.col("ax") + F.col("dx") - F.col("bx")).alias("sx"))
     move = pair.groupBy(F.col("pb").alias("part")).agg(F.max_by(F.struct("pa", "sy", "sx"), F.struct("n", (-F.col("pa")).alias("o"))).alias("m"))
     return placed.join(move, "part", "left").select("id", F.coalesce("m.pa", "part").alias("part"), (F.col("y") + F.coalesce("m.sy", F.lit(0.0))).alias("y"), (F.col("x") + F.coalesce("m.sx", F.lit(0.0))).alias("x"))
+
+
+def merge_all_parts(placed: DataFrame, offsets: DataFrame) -> DataFrame:
+    """``merge_parts`` until no offset joins two parts, so that chains of parts come together: parts get fewer each round."""
+    offsets, placed = materialize(offsets), materialize(placed)
+    while True:
+        part = lambda k: placed.select(F.col("id").alias(k), F.col("part").alias(f"p{k}"))  # noqa: E731, B023
+        if offsets.join(part("a"), "a").join(part("b"), "b").filter("pa <> pb").isEmpty():
+            return placed
+        placed = materialize(merge_parts(placed, offsets))

@@ -89,6 +89,17 @@ def thin_plate(source: np.ndarray, target: np.ndarray, query: np.ndarray) -> np.
     return basis(square(query, source)) @ w[:n] + np.column_stack([np.ones(len(query)), query]) @ w[n:]
 
 
+def multiquadric(source: np.ndarray, target: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Radial map by multiquadrics whose width is the mean spacing of the control points."""
+    square = lambda a, b: ((a[:, None] - b[None]) ** 2).sum(axis=2)
+    extent = np.ptp(source, axis=0)
+    extent = extent[extent > 0]
+    width = (extent.prod() / len(source)) ** (1 / len(extent)) if len(extent) else 1.0
+    basis = lambda d2: np.sqrt(d2 / width**2 + 1)
+    w = np.linalg.lstsq(basis(square(source, source)), target, rcond=None)[0]
+    return basis(square(query, source)) @ w
+
+
 def mesh_or_plate(source: np.ndarray, target: np.ndarray, query: np.ndarray) -> np.ndarray:
     """The mesh inside its hull, the thin-plate spline outside."""
     out = mesh_map(source, target, query)

@@ -102,7 +102,7 @@ def checksums(entries: DataFrame, key: str, text: str) -> DataFrame:
 def histogram_lines(lines: DataFrame) -> DataFrame:
     """(path, intensity, n) from lines ``count: (a,b,c) #hex ...``; others are skipped."""
     m = r"^\s*(\d+)\s*:\s*\(\s*(\d+)"
-    return lines.filter(F.col("line").rlike(m)).groupBy("path", F.regexp_extract("line", m, 2).cast("int").alias("intensity")).agg(F.sum(F.regexp_extract("line", m, 1).cast("bigint")).alias("n"))
+    return lines.filter(F.col("line").rlike(m)).groupBy("path", F.regexp_extract("line", m, 2).try_cast("int").alias("intensity")).agg(F.sum(F.regexp_extract("line", m, 1).try_cast("bigint")).alias("n"))
 
 
 def tile_ids(files: DataFrame, path: str) -> DataFrame:

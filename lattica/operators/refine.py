@@ -74,11 +74,11 @@ def refined(pairs: DataFrame, cell: int = 32, spacing: int = 32, passes: int = 1
     return out.select("pair", "control", F.explode(F.sequence(F.lit(0), (F.size("control") / 4 - 1).cast("int"))).alias("i")).select("pair", at(0).alias("t_y"), at(1).alias("t_x"), at(2).alias("s_y"), at(3).alias("s_x"))
 
 
-def enriched(a_to_b: np.ndarray, b_to_c: np.ndarray, epsilon: float, rounds: int = 10) -> np.ndarray:
+def enriched(a_to_b: np.ndarray, b_to_c: np.ndarray, epsilon: float) -> np.ndarray:
     """Control points of A to C, with centroids added where mapping A to C at once misses A to B to C by more than ``epsilon``."""
     through = lambda s: mesh_or_plate(b_to_c[:, 2:], b_to_c[:, :2], mesh_or_plate(a_to_b[:, 2:], a_to_b[:, :2], s))
     source = a_to_b[:, 2:]
-    for _ in range(rounds):
+    while True:
         target = through(source)
         tri = delaunay(source)
         if not len(tri):

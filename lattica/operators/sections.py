@@ -42,15 +42,15 @@ def nearest_section(asked: DataFrame, sections: DataFrame) -> DataFrame:
     return found.select(F.col("n").alias("asked"), pick.alias("section"))
 
 
-def tree_depth(pairs: DataFrame, most: int = 1_000) -> DataFrame:
+def tree_depth(pairs: DataFrame) -> DataFrame:
     """(section, depth): the fewest registrations between each section and a root, which is a control that is mapped to nothing."""
     roots = pairs.select(F.col("control").alias("section")).distinct().join(pairs.select(F.col("mapped").alias("section")), "section", "left_anti")
     done = materialize(roots.select("section", F.lit(0).alias("depth")))
-    front = done
-    for depth in range(1, most):
+    front, depth = done, 0
+    while True:
+        depth += 1
         step = front.select(F.col("section").alias("control")).join(pairs, "control").select(F.col("mapped").alias("section")).distinct()
         front = materialize(step.join(done, "section", "left_anti").select("section", F.lit(depth).alias("depth")))
         if front.isEmpty():
             return done
         done = materialize(done.unionByName(front))
-    return done

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.geometry import rotate, shortest_decimal, similarity, similarity_inverse
+from lattica.sources.tables import materialize
 
 POINT = ["t_y", "t_x", "s_y", "s_x"]
 
@@ -110,22 +113,32 @@ def to_zero_origin(cp: DataFrame) -> DataFrame:
 def nearest_control(points: DataFrame, cp: DataFrame, cell: float) -> DataFrame:
     """(tf_id, q, idx, dist): the control point whose target lies nearest to each point (tf_id, q, y, x), the lower idx of equal ones.
 
-    Points look in the 3 x 3 grid cells about their own; what is found within one cell's side is the nearest. The few
-    points without such a neighbour, far from all control points, ask all of their own transform.
+    Points look in the 3 x 3 grid cells about their own; what is found within one cell's side is the nearest. The points
+    without such a neighbour look again with cells four times as large, until all have found one; points of a transform
+    without control points have no row.
     """
-    grid = lambda c: F.floor(F.col(c) / cell)
     around = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
-    near = points.withColumn("gy", grid("y")).withColumn("gx", grid("x")).withColumn("o", around).withColumn("gy", F.col("gy") + F.col("o")).withColumn("o", around).withColumn("gx", F.col("gx") + F.col("o"))
-    have = cp.select("tf_id", "idx", "t_y", "t_x", grid("t_y").alias("gy"), grid("t_x").alias("gx"))
     dist = F.hypot(F.col("y") - F.col("t_y"), F.col("x") - F.col("t_x"))
 
     def best(pairs: DataFrame) -> DataFrame:
         b = pairs.groupBy("tf_id", "q").agg(F.min(F.struct(dist.alias("dist"), F.col("idx"))).alias("b"))
         return b.select("tf_id", "q", "b.idx", "b.dist")
 
-    close = best(near.join(have, ["tf_id", "gy", "gx"])).filter(F.col("dist") <= cell)
-    far = points.join(close.select("tf_id", "q"), ["tf_id", "q"], "left_anti")
-    return close.unionByName(best(far.join(cp.select("tf_id", "idx", "t_y", "t_x"), "tf_id")))
+    def close(asked: DataFrame, side: float) -> DataFrame:
+        grid = lambda c: F.floor(F.col(c) / side)
+        near = asked.withColumn("gy", grid("y")).withColumn("gx", grid("x")).withColumn("o", around).withColumn("gy", F.col("gy") + F.col("o")).withColumn("o", around).withColumn("gx", F.col("gx") + F.col("o"))
+        have = cp.select("tf_id", "idx", "t_y", "t_x", grid("t_y").alias("gy"), grid("t_x").alias("gx"))
+        return best(near.join(have, ["tf_id", "gy", "gx"])).filter(F.col("dist") <= side)
+
+    finite = lambda df, y, x: df.filter(f"abs({y}) < 1e300 and abs({x}) < 1e300")
+    cp = finite(cp, "t_y", "t_x")
+    todo = materialize(finite(points.select("tf_id", "q", "y", "x"), "y", "x").join(cp.select("tf_id").distinct(), "tf_id", "left_semi"))
+    found, side = [], cell
+    while not found or not todo.isEmpty():
+        found.append(materialize(close(todo, side)))
+        todo = materialize(todo.join(found[-1].select("tf_id", "q"), ["tf_id", "q"], "left_anti"))
+        side *= 4
+    return reduce(DataFrame.unionByName, found)
 
 
 def transform_text(cp: DataFrame, digits: int = 3) -> DataFrame:
@@ -152,3 +165,38 @@ def triangle_metrics(tri: DataFrame) -> DataFrame:
     a = F.abs(arc_angle(c("ay"), c("ax"), c("by"), c("bx"), c("cy"), c("cx")))
     b = F.abs(arc_angle(c("by"), c("bx"), c("ay"), c("ax"), c("cy"), c("cx")))
     return tri.select("tri", a.alias("angle_a"), b.alias("angle_b"), (3.141592653589793 - a - b).alias("angle_c"), ((c("ay") + c("by") + c("cy")) / 3).alias("m_y"), ((c("ax") + c("bx") + c("cx")) / 3).alias("m_x"))
+
+
+def edited(cp: DataFrame, edits: DataFrame) -> DataFrame:
+    """Control points after ``edits`` (tf_id, idx, action, t_y, t_x, s_y, s_x): ``remove`` drops a point, ``put`` adds or replaces one.
+
+    A null in a put point leaves that coordinate as it was. Of several edits of one point the removal counts, else the greatest.
+    """
+    last = edits.groupBy("tf_id", "idx").agg(F.max(F.struct("action", *POINT)).alias("e"), F.max(F.when(F.col("action") == "remove", 1)).alias("gone"))
+    both = cp.select("tf_id", "idx", F.struct(*POINT).alias("c")).join(last, ["tf_id", "idx"], "full").filter("gone is null")
+    return both.select("tf_id", "idx", *[F.coalesce(f"e.{p}", f"c.{p}").alias(p) for p in POINT])
+
+
+def rigid_of_records(records: DataFrame) -> DataFrame:
+    """Rigid transforms (tf_id, angle, scale, dy, dx, c_y, c_x) of alignment records (tf_id, angle in degrees, peak_y, peak_x, h, w, h_fixed, w_fixed).
+
+    The moving image turns about its centre; the peak shifts it from where both images share their centres.
+    """
+    c = F.col
+    return records.select("tf_id", F.radians(-c("angle")).alias("angle"), F.lit(1.0).alias("scale"), ((c("h_fixed") - c("h")) / 2 + c("peak_y")).alias("dy"), ((c("w_fixed") - c("w")) / 2 + c("peak_x")).alias("dx"), (c("h") / 2).alias("c_y"), (c("w") / 2).alias("c_x"))
+
+
+def layout_transforms(placed: DataFrame) -> DataFrame:
+    """Control points of tiles (id, y, x, h, w) of a layout: the corners of each, where its centre lies at (y, x); the layout begins at (0, 0)."""
+    at = lambda i, y, x: F.struct(F.lit(i).alias("idx"), (F.col("y") - F.col("h") / 2 + F.col("h") * y).alias("t_y"), (F.col("x") - F.col("w") / 2 + F.col("w") * x).alias("t_x"), (F.col("h") * y).alias("s_y"), (F.col("w") * x).alias("s_x"))
+    corners = placed.select(F.col("id").alias("tf_id"), F.inline(F.array(at(0, 0.0, 0.0), at(1, 0.0, 1.0), at(2, 1.0, 0.0), at(3, 1.0, 1.0))))
+    return to_zero_origin(corners)
+
+
+def layout_mosaic(placed: DataFrame, digits: int = 3) -> DataFrame:
+    """(id, entry) of each tile of a layout as a mosaic's text: its image and its corners as a grid transform."""
+    n = lambda v: shortest_decimal(v, digits)
+    points = layout_transforms(placed).groupBy("tf_id").agg(F.array_sort(F.collect_list(F.struct("idx", "t_x", "t_y"))).alias("p"), F.max("s_y").alias("h"), F.max("s_x").alias("w"))
+    pair = F.array_join(F.transform("p", lambda p: F.concat(n(p["t_x"]), F.lit(" "), n(p["t_y"]))), " ")
+    text = F.concat(F.lit("image: "), F.col("tf_id").cast("string"), F.lit(".png GridTransform_double_2_2 vp 8 "), pair, F.lit(" fp 7 0 1 1 0 0 "), n(F.col("w")), F.lit(" "), n(F.col("h")))
+    return points.select(F.col("tf_id").alias("id"), text.alias("entry"))

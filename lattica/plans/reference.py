@@ -756,7 +756,7 @@ def arrange_tiles(spark: SparkSession, d: str) -> DataFrame:
     i = V.image_arrays(spark, d)
     k = F.col("image_id")
     t = i.select(k.alias("id"), (F.floor(k / 20) * 5.0).alias("y"), ((k % 20) * 5.0).alias("x"), F.lit(8.0).alias("h"), F.lit(8.0).alias("w"))
-    return arrange(t, i, 8.0, passes=1, first_excess=1.5).select("id", r("y", 2), r("x", 2))
+    return arrange(t, i, 8.0, passes=1, first_excess=1.5, relax_steps=24).select("id", r("y", 2), r("x", 2))
 
 
 # Tiles and their boxes

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.operators import changepoints, consolidate, orphans, parsing, units
-from lattica.plans import oracles, reference
+from lattica.plans import extended, oracles, reference  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 

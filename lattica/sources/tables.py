@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -18,10 +20,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset a local folder is made in local mode (tests), whose only executor is the driver; a cluster must name one.
+    """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(spark, "_lattica_shared", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="lattica-")
@@ -37,10 +44,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lattica-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(_drop_at_exit, spark)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        drop_materialized(spark)
+
+
 def drop_materialized(spark: SparkSession) -> int:
     """Deletes what ``materialize`` has written, once no DataFrame needs it; gives the number of tables."""
     n = len(_written)
