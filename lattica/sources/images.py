@@ -1,4 +1,4 @@
-"""Image files as rows: PNG of 8 and 16 bits grey and NumPy arrays, read and written by NumPy alone."""
+"""Image files as rows: PNG, TIFF, BMP and NumPy arrays, read and written by NumPy alone."""
 
 from __future__ import annotations
 
@@ -65,6 +65,71 @@ def decode_png(content: bytes) -> tuple[np.ndarray, int]:
     return (px[:, :, 0].astype(np.float64) * 256 + px[:, :, 1] if bits == 16 else px[:, :, 0].astype(np.float64)), bits
 
 
+def _unpacked(data: bytes) -> bytes:
+    """Bytes of a run-length coded strip."""
+    out, i = bytearray(), 0
+    while i < len(data):
+        n = data[i]
+        if n < 128:
+            out += data[i + 1 : i + 2 + n]
+            i += n + 2
+        else:
+            if n > 128:
+                out += data[i + 1 : i + 2] * (257 - n)
+            i += 2 if n > 128 else 1
+    return bytes(out)
+
+
+#: TIFF: bytes of a value by its type, and the tags read. Fixed values.
+_TIFF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 16: 8}
+_TIFF_TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 262: "photometric", 273: "offsets", 277: "samples", 278: "rows", 279: "counts", 284: "planar", 317: "predictor"}
+
+
+def decode_tiff(content: bytes) -> tuple[np.ndarray, int]:
+    """Pixels (first channel) and bits of a TIFF's first image: strips of 8 or 16 bits, plain, deflated or run-length coded."""
+    end = {b"II*\0": "<", b"MM\0*": ">"}.get(content[:4])
+    if end is None:
+        raise ValueError("no TIFF")
+    (at,) = struct.unpack(end + "I", content[4:8])
+    (entries,) = struct.unpack(end + "H", content[at : at + 2])
+    tag: dict[str, tuple[int, ...]] = {"bits": (1,), "compression": (1,), "photometric": (1,), "samples": (1,), "planar": (1,), "predictor": (1,)}
+    for k in range(entries):
+        place = at + 2 + 12 * k
+        number, kind, n = struct.unpack(end + "HHI", content[place : place + 8])
+        if number in _TIFF_TAGS and kind in (1, 3, 4, 16):
+            size = _TIFF_SIZES[kind] * n
+            start = place + 8 if size <= 4 else struct.unpack(end + "I", content[place + 8 : place + 12])[0]
+            tag[_TIFF_TAGS[number]] = struct.unpack(f"{end}{n}{ {1: 'B', 3: 'H', 4: 'I', 16: 'Q'}[kind] }", content[start : start + size])
+    bits, samples, (compression,) = tag["bits"][0], tag["samples"][0], tag["compression"]
+    unpack = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpacked}.get(compression)
+    if bits not in (8, 16) or unpack is None or "offsets" not in tag or tag["planar"] != (1,) or tag["photometric"][0] == 3:
+        raise ValueError("kind of TIFF not supported")
+    (height,), (width,) = tag["height"], tag["width"]
+    raw = b"".join(unpack(content[o : o + n]) for o, n in zip(tag["offsets"], tag["counts"], strict=True))
+    px = np.frombuffer(raw, f"{end}u{bits // 8}", height * width * samples).reshape(height, width, samples)
+    if tag["predictor"] == (2,):
+        px = np.cumsum(px, axis=1, dtype=px.dtype.newbyteorder("="))
+    first = px[:, :, 0].astype(np.float64)
+    return (2**bits - 1 - first if tag["photometric"] == (0,) else first), bits
+
+
+def decode_bmp(content: bytes) -> tuple[np.ndarray, int]:
+    """Pixels (red channel, or the palette's) and bits of an uncompressed BMP of 8, 24 or 32 bits."""
+    if content[:2] != b"BM":
+        raise ValueError("no BMP")
+    start, head, width, height, _, bits, packed = struct.unpack("<IIiiHHI", content[10:34])
+    if bits not in (8, 24, 32) or packed not in (0, 3):
+        raise ValueError("kind of BMP not supported")
+    stride, rows = (width * bits // 8 + 3) // 4 * 4, abs(height)
+    lines = np.frombuffer(content, np.uint8, rows * stride, start).reshape(rows, stride)
+    if bits == 8:
+        table = np.frombuffer(content, np.uint8, start - 14 - head, 14 + head).reshape(-1, 4)[:, 2]
+        px = table[lines[:, :width]]
+    else:
+        px = lines[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2]
+    return (px[::-1] if height > 0 else px).astype(np.float64), 8
+
+
 def encode_png(image: np.ndarray, bits: int) -> bytes:
     """PNG of grey pixels: whole numbers as they are, rescaled if they don't fit; floats up to 1 times the largest number."""
     top = 2**bits - 1
@@ -79,7 +144,13 @@ def encode_png(image: np.ndarray, bits: int) -> bytes:
     return _MAGIC + chunk(b"IHDR", struct.pack(">IIBBBBB", px.shape[1], px.shape[0], bits, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def read_images(spark: SparkSession, path: str, glob: str = "*.{png,npy}") -> DataFrame:
+def decode_image(content: bytes) -> tuple[np.ndarray, int]:
+    """Pixels and bits of an image file, whose kind its first bytes tell."""
+    kind = {b"II": decode_tiff, b"MM": decode_tiff, b"BM": decode_bmp}.get(content[:2], decode_png)
+    return kind(content)
+
+
+def read_images(spark: SparkSession, path: str, glob: str = "*.{png,npy,tif,tiff,bmp}") -> DataFrame:
     """(path, h, w, bpp, data, error) of the images below ``path``. One that can't be read has a row with its error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +162,7 @@ def read_images(spark: SparkSession, path: str, glob: str = "*.{png,npy}") -> Da
                         px = np.load(io.BytesIO(content))
                         bits = px.dtype.itemsize * 8
                     else:
-                        px, bits = decode_png(content)
+                        px, bits = decode_image(content)
                     rows.append((name, px.shape[0], px.shape[1], bits, px.astype(float).ravel().tolist(), None))
                 except Exception as e:  # noqa: BLE001
                     rows.append((name, None, None, None, None, f"{type(e).__name__}: {e}"))
