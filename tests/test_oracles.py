@@ -39,5 +39,6 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_query_runs(spark):
-    for name in set(registry.queries()) - set(registry.oracle_sql()) - {"relax_converged"}:
+    # These two take minutes even here: test_relaxing.py and test_angles.py run their operators on small tables.
+    for name in sorted(set(registry.queries()) - set(registry.oracle_sql()) - {"relax_converged", "angle_search"}):
         registry.queries()[name](spark, str(DATA)).count()
