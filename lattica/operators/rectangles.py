@@ -19,8 +19,9 @@ def overlapping_pairs(rects: DataFrame, size: float, key: str = "id") -> DataFra
 
     Rectangles meet in the grid cells that they share, so the theta join becomes an equi-join on cells; a pair counts only
     in the cell of the lower corner of its common part, so none comes twice and nothing is shuffled to remove copies.
-    ``size`` should be near the usual size of a rectangle. Skewed cells are split by AQE. Rectangles with null or
-    negative bounds overlap nothing.
+    ``size`` should be near the usual size of a rectangle. Both sides are shuffled: Spark doesn't count what the explosion
+    into cells adds, and would take many rows of a small file for a side to broadcast, which the driver holds as a whole.
+    Skewed cells are split by AQE. Rectangles with null or negative bounds overlap nothing.
     """
     good = rects.filter(Rect.of().valid()).select(key, *SIDES)
     gridded = _cells(good, size, key)
@@ -29,7 +30,7 @@ def overlapping_pairs(rects: DataFrame, size: float, key: str = "id") -> DataFra
     common = ra.clip(rb)
     here = (F.floor(common.min_y / size) == F.col("a.cell_y")) & (F.floor(common.min_x / size) == F.col("a.cell_x"))
     on = (F.col("a.cell_y") == F.col("b.cell_y")) & (F.col("a.cell_x") == F.col("b.cell_x")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
-    return a.join(b, on & ra.intersects(rb) & here).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), *ra.columns("a_"), *rb.columns("b_"))
+    return a.join(b.hint("merge"), on & ra.intersects(rb) & here).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), *ra.columns("a_"), *rb.columns("b_"))
 
 
 def overlaps(rects: DataFrame, size: float, least: float = 0.0, key: str = "id") -> DataFrame:

@@ -20,6 +20,16 @@ def test_touching_rectangles_do_not_overlap(spark):
     assert spark.range(1).select(boxes_touch(z, [F.lit(float(v)) for v in (1, 0, 0, 2, 1, 1)])).first()[0]
 
 
+def test_rectangles_are_joined_without_a_broadcast(spark):
+    t = spark.range(400).selectExpr("id", "id div 20 * 80.0D as min_y", "id % 20 * 80.0D as min_x", "id div 20 * 80.0D + 100 as max_y", "id % 20 * 80.0D + 100 as max_x")
+    moved = t.withColumns({c: F.col(c) + F.when(F.col("id") == 0, -1000.0).otherwise(0.0) for c in ("min_y", "max_y")})
+    delta = rectangles.pair_delta(rectangles.overlaps(t, 100.0), rectangles.overlaps(moved, 100.0))
+    assert {r.state: r["count"] for r in delta.groupBy("state").count().collect()} == {"removed": 3, "unchanged": 2 * 20 * 19 + 2 * 19 * 19 - 3}
+    delta.collect()
+    plan = delta._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
 def test_overlap_shares(spark):
     a, b = Rect(*[F.lit(float(v)) for v in (0, 0, 10, 10)]), Rect(*[F.lit(float(v)) for v in (5, 5, 10, 20)])
     assert tuple(spark.range(1).select(a.overlap(b), a.overlap_normalized(b), b.overlap(a)).first()) == (0.25, 0.5, 25 / 75)
