@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ def delaunay(points: np.ndarray) -> np.ndarray:
     p = p / size
     # A far triangle around all points; circles through its corners act as half planes.
     p = np.concatenate([p, [[-3e3, -3e3], [3e3, -3e3], [0.0, 3e3]]])
-    tri, centre, radius = [(n, n + 1, n + 2)], [], []
+    tri, dead = [(n, n + 1, n + 2)], set()
 
     def circle(t: tuple[int, int, int]) -> tuple[np.ndarray, float]:
         a, b, c = p[list(t)]
@@ -34,70 +35,160 @@ def delaunay(points: np.ndarray) -> np.ndarray:
         return a + u, float(u @ u)
 
     first = circle(tri[0])
-    centre, radius = [first[0]], [first[1]]
+    centre, radius = np.array([first[0]]), np.array([first[1]])
+    # Triangles by number whose circles may hold a point to come; points come by y, so a circle that ends below one is past.
+    live = np.array([0])
     for i in np.lexsort((p[:n, 1], p[:n, 0])).tolist():
-        gap = ((np.array(centre) - p[i]) ** 2).sum(axis=1)
-        r = np.array(radius)
-        bad = np.flatnonzero(gap < r * (1 + 1e-10))
+        gap = (centre - p[i]) ** 2
+        most = radius * (1 + 1e-10)
+        hit = gap.sum(axis=1) < most
+        bad = live[hit].tolist()
         count: dict[tuple[int, int], tuple[int, int] | None] = {}
-        for k in bad.tolist():
+        for k in bad:
             t = tri[k]
             for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
                 s = (min(e), max(e))
                 count[s] = None if s in count else e
-        gone = set(bad.tolist())
-        kept = [k for k in range(len(tri)) if k not in gone]
-        tri, centre, radius = [tri[k] for k in kept], [centre[k] for k in kept], [radius[k] for k in kept]
+        dead.update(bad)
+        stay = ~hit & ~((centre[:, 0] < p[i, 0]) & (gap[:, 0] >= most))
+        new, at, far = [], [], []
         for e in count.values():
             if e is not None:
                 t = (e[0], e[1], i)
                 c, q = circle(t)
                 if np.isfinite(q):
+                    new.append(len(tri))
                     tri.append(t)
-                    centre.append(c)
-                    radius.append(q)
-    return np.array([t for t in tri if max(t) < n], int).reshape(-1, 3)
+                    at.append(c)
+                    far.append(q)
+        live = np.concatenate([live[stay], np.array(new, int)])
+        centre, radius = np.concatenate([centre[stay], np.array(at).reshape(-1, 2)]), np.concatenate([radius[stay], far])
+    return np.array([t for k, t in enumerate(tri) if k not in dead and max(t) < n], int).reshape(-1, 3)
 
 
-def mesh_map(source: np.ndarray, target: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Queries through the linear map of the source triangle that holds them; NaN outside all triangles."""
+#: Pairs of a query and a triangle or control point that are held at once.
+PAIRS = 1 << 18
+
+
+def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to PAIRS at most, or single ones."""
+    end, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + PAIRS, side="right")))
+        yield at, to
+        at = to
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a[:, None, 0] - b[None, :, 0]) ** 2 + (a[:, None, 1] - b[None, :, 1]) ** 2
+
+
+def fit_mesh(source: np.ndarray, target: np.ndarray) -> tuple:
+    return source, target, delaunay(source).astype(np.int32)
+
+
+def by_mesh(fit: tuple, query: np.ndarray) -> np.ndarray:
+    source, target, tri = fit
     out = np.full((len(query), 2), np.nan)
-    for t in delaunay(source):
-        a, b, c = source[t]
-        m = np.array([b - a, c - a]).T
-        if abs(np.linalg.det(m)) < 1e-12:
-            continue
-        uv = np.linalg.solve(m, (query - a).T).T
-        inside = (uv >= -1e-9).all(axis=1) & (uv.sum(axis=1) <= 1 + 1e-9) & np.isnan(out[:, 0])
-        ta, tb, tc = target[t]
-        out[inside] = ta + uv[inside, :1] * (tb - ta) + uv[inside, 1:] * (tc - ta)
+    a, b, c = (source[tri[:, k]] for k in range(3))
+    ab, ac = b - a, c - a
+    det = ab[:, 0] * ac[:, 1] - ac[:, 0] * ab[:, 1]
+    good = np.abs(det) >= 1e-12
+    tri, a, b, c, ab, ac, det = (v[good] for v in (tri, a, b, c, ab, ac, det))
+    ta, tb, tc = (target[tri[:, k]] for k in range(3))
+    # A triangle meets the queries of its span in y only.
+    order = np.argsort(query[:, 0], kind="stable")
+    y = query[order, 0]
+    lo, hi = np.minimum(np.minimum(a[:, 0], b[:, 0]), c[:, 0]), np.maximum(np.maximum(a[:, 0], b[:, 0]), c[:, 0])
+    slack = 1e-8 * (hi - lo)
+    begin = np.searchsorted(y, lo - slack, side="left")
+    n = np.searchsorted(y, hi + slack, side="right") - begin
+    for k, to in _blocks(n):
+        t = np.repeat(np.arange(k, to), n[k:to])
+        at = order[np.arange(len(t)) - np.repeat(np.cumsum(n[k:to]) - n[k:to], n[k:to]) + np.repeat(begin[k:to], n[k:to])]
+        d = query[at] - a[t]
+        # Shares of b and c, times det.
+        nu, nv = d[:, 0] * ac[t, 1] - ac[t, 0] * d[:, 1], ab[t, 0] * d[:, 1] - ab[t, 1] * d[:, 0]
+        u, v = nu / det[t], nv / det[t]
+        inside = np.flatnonzero((u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9) & np.isnan(out[at, 0]))
+        at, first = np.unique(at[inside], return_index=True)
+        j = inside[first]
+        t, nu, nv = t[j], nu[j, None], nv[j, None]
+        out[at] = ta[t] + (nu * (tb[t] - ta[t]) + nv * (tc[t] - ta[t])) / det[t, None]
     return out
 
 
-def thin_plate(source: np.ndarray, target: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Queries through the thin-plate spline with affine part that meets all control points."""
-    n = len(source)
+def mesh_map(source: np.ndarray, target: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Queries through the linear map of the source triangle that holds them, of several the first; NaN outside all triangles."""
+    return by_mesh(fit_mesh(source, target), query)
+
+
+def _plate_basis(d2: np.ndarray) -> np.ndarray:
+    return np.where(d2 > 0, d2 * np.log(np.where(d2 > 0, d2, 1.0)) / 2, 0.0)
 
-    def basis(d2: np.ndarray) -> np.ndarray:
-        return np.where(d2 > 0, d2 * np.log(np.where(d2 > 0, d2, 1.0)) / 2, 0.0)
 
-    square = lambda a, b: ((a[:, None] - b[None]) ** 2).sum(axis=2)
-    p = np.column_stack([np.ones(n), source])
+def fit_plate(source: np.ndarray, target: np.ndarray) -> tuple:
+    """Source, weights, middle and size by which coordinates are scaled, as distances of their squares' size cost digits.
+
+    Distinct points that are not all on a line have one spline, else the least squares of the unscaled points count.
+    """
+    n = len(source)
+    middle = source.mean(axis=0)
+    size = float(np.abs(source - middle).max()) or 1.0
+    one = len(np.unique(source, axis=0)) == n and np.linalg.matrix_rank(np.column_stack([np.ones(n), (source - middle) / size])) == 3
+    if not one:
+        middle, size = np.zeros(2), 1.0
+    s = (source - middle) / size
+    p = np.column_stack([np.ones(n), s])
     m = np.zeros((n + 3, n + 3))
-    m[:n, :n], m[:n, n:], m[n:, :n] = basis(square(source, source)), p, p.T
-    w = np.linalg.lstsq(m, np.concatenate([target, np.zeros((3, 2))]), rcond=None)[0]
-    return basis(square(query, source)) @ w[:n] + np.column_stack([np.ones(len(query)), query]) @ w[n:]
+    m[:n, :n], m[:n, n:], m[n:, :n] = _plate_basis(_squares(s, s)), p, p.T
+    want = np.concatenate([target, np.zeros((3, 2))])
+    return s, np.linalg.solve(m, want) if one else np.linalg.lstsq(m, want, rcond=None)[0], middle, size
 
 
-def multiquadric(source: np.ndarray, target: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Radial map by multiquadrics whose width is the mean spacing of the control points."""
-    square = lambda a, b: ((a[:, None] - b[None]) ** 2).sum(axis=2)
+def by_plate(fit: tuple, query: np.ndarray) -> np.ndarray:
+    s, w, middle, size = fit
+    q, out = (query - middle) / size, np.empty((len(query), 2))
+    for k, to in _blocks(np.full(len(q), len(s))):
+        out[k:to] = _plate_basis(_squares(q[k:to], s)) @ w[: len(s)] + np.column_stack([np.ones(to - k), q[k:to]]) @ w[len(s) :]
+    return out
+
+
+def thin_plate(source: np.ndarray, target: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Queries through the thin-plate spline with affine part that meets all control points."""
+    return by_plate(fit_plate(source, target), query)
+
+
+def fit_multiquadric(source: np.ndarray, target: np.ndarray) -> tuple:
     extent = np.ptp(source, axis=0)
     extent = extent[extent > 0]
     width = (extent.prod() / len(source)) ** (1 / len(extent)) if len(extent) else 1.0
-    basis = lambda d2: np.sqrt(d2 / width**2 + 1)
-    w = np.linalg.lstsq(basis(square(source, source)), target, rcond=None)[0]
-    return basis(square(query, source)) @ w
+    return source, np.linalg.lstsq(np.sqrt(_squares(source, source) / width**2 + 1), target, rcond=None)[0], width
+
+
+def by_multiquadric(fit: tuple, query: np.ndarray) -> np.ndarray:
+    source, w, width = fit
+    out = np.empty((len(query), 2))
+    for k, to in _blocks(np.full(len(query), len(source))):
+        out[k:to] = np.sqrt(_squares(query[k:to], source) / width**2 + 1) @ w
+    return out
+
+
+def multiquadric(source: np.ndarray, target: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Radial map by multiquadrics whose width is the mean spacing of the control points."""
+    return by_multiquadric(fit_multiquadric(source, target), query)
+
+
+def fit_mesh_or_plate(source: np.ndarray, target: np.ndarray) -> tuple:
+    return fit_mesh(source, target), fit_plate(source, target)
+
+
+def by_mesh_or_plate(fit: tuple, query: np.ndarray) -> np.ndarray:
+    out = by_mesh(fit[0], query)
+    lost = np.isnan(out[:, 0])
+    if lost.any():
+        out[lost] = by_plate(fit[1], query[lost])
+    return out
 
 
 def mesh_or_plate(source: np.ndarray, target: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -109,34 +200,43 @@ def mesh_or_plate(source: np.ndarray, target: np.ndarray, query: np.ndarray) ->
     return out
 
 
+#: How a kind of transform is fitted to its control points once, and applied to queries.
+FITS = {mesh_map: (fit_mesh, by_mesh), thin_plate: (fit_plate, by_plate), multiquadric: (fit_multiquadric, by_multiquadric), mesh_or_plate: (fit_mesh_or_plate, by_mesh_or_plate)}
+#: Parts into which the points of a transform are spread.
+SPREAD = 8
+
+
 def map_by(points: DataFrame, cp: DataFrame, kind: Callable = mesh_or_plate, inverse: bool = False) -> DataFrame:
     """(tf_id, q, y, x) through transforms given by control points (tf_id, idx, t_y, t_x, s_y, s_x); inverse: target to source.
 
-    Control points come from files of some hundred points a transform and ride along as one array per transform, joined
-    to its points; the points themselves are spread evenly and mapped in batches, so a transform that is asked for a third
-    of all points is fitted in several tasks. Repeated control points count once. A transform of fewer than three maps to NaN.
+    A transform is fitted once, in a task that holds its control points (memory grows with their square where a spline is
+    fitted); the fit goes to each of SPREAD parts of its points, so a transform that is asked for a third of all points
+    is applied in several tasks. Repeated control points count once. A transform of fewer than three maps to NaN.
     """
-    fitted = cp.groupBy("tf_id").agg(F.array_sort(F.collect_set(F.array("s_y", "s_x", "t_y", "t_x"))).alias("cp"))
-    joined = points.select("tf_id", "q", "y", "x").join(fitted, "tf_id").select("tf_id", "q", "y", "x", "cp")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.array(batch.column(0))
-            q = np.column_stack([np.array(batch.column(2)), np.array(batch.column(3))])
-            out = np.full(q.shape, np.nan)
-            for t in np.unique(ids):
-                rows = np.flatnonzero(ids == t)
-                c = np.array(batch.column(4)[int(rows[0])].as_py(), float)
-                s, g = (c[:, 2:], c[:, :2]) if inverse else (c[:, :2], c[:, 2:])
-                _, first = np.unique(s, axis=0, return_index=True)
-                if len(first) >= 3:
-                    out[rows] = kind(s[first], g[first], q[rows])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[:, 0]), pa.array(out[:, 1])], ["tf_id", "q", "y", "x"])
-
+    fit, apply = FITS[kind]
     kinds = dict(points.dtypes)
-    return joined.mapInArrow(run, f"tf_id {kinds['tf_id']}, q {kinds['q']}, y double, x double")
+
+    def fitted(group: pa.Table) -> pa.Table:
+        c = np.unique(np.column_stack([np.array(group.column(k)) for k in range(1, 5)]), axis=0)
+        s, g = (c[:, 2:], c[:, :2]) if inverse else (c[:, :2], c[:, 2:])
+        _, first = np.unique(s, axis=0, return_index=True)
+        made = pickle.dumps(fit(s[first], g[first]) if len(first) >= 3 else None)
+        return pa.table([group.column(0).slice(0, 1), pa.array([made], pa.binary())], ["tf_id", "fit"])
+
+    def run(asked: pa.Table, fits: pa.Table) -> pa.Table:
+        if not fits.num_rows:
+            asked = asked.slice(0, 0)
+        q = np.column_stack([np.array(asked.column(k), float) for k in ("y", "x")])
+        model = pickle.loads(fits.column("fit")[0].as_py()) if asked.num_rows else None
+        out = np.full(q.shape, np.nan) if model is None else apply(model, q)
+        return pa.table([asked.column("tf_id"), asked.column("q"), pa.array(out[:, 0]), pa.array(out[:, 1])], ["tf_id", "q", "y", "x"])
+
+    # A given number of partitions: control points have few bytes for the time they take, and AQE would put them into one task.
+    tasks = int(cp.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = cp.filter("tf_id is not null").select("tf_id", *[F.col(c).cast("double") for c in ("s_y", "s_x", "t_y", "t_x")]).repartition(tasks, "tf_id")
+    fits = each.groupBy("tf_id").applyInArrow(fitted, f"tf_id {dict(cp.dtypes)['tf_id']}, fit binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    spread = points.filter("tf_id is not null").select("tf_id", "q", "y", "x", F.pmod(F.xxhash64("q", "y", "x"), F.lit(SPREAD)).cast("int").alias("part"))
+    return spread.groupBy("tf_id", "part").cogroup(fits.groupBy("tf_id", "part")).applyInArrow(run, f"tf_id {kinds['tf_id']}, q {kinds['q']}, y double, x double")
 
 
 def composed(a_to_b: DataFrame, b_to_c: DataFrame) -> DataFrame:

@@ -210,6 +210,22 @@ def test_local_rigid_of_a_turn(spark):
     assert abs(abs(r.angle) - a) < 1e-6 and abs(r.c_y - 40) < 1e-6 and abs(r.c_x - 60) < 1e-6
 
 
+def test_each_transform_is_fitted_once(spark, tmp_path, monkeypatch):
+    def fit(source, target):
+        with (tmp_path / "fits").open("a") as f:
+            f.write(f"{len(source)}\n")
+        return source, target
+
+    monkeypatch.setitem(mesh.FITS, mesh.mesh_map, (fit, lambda fitted, q: q + (fitted[1] - fitted[0])[0]))
+    cp = spark.createDataFrame([(t, i, y + (t or 0), x, y, x) for t in (1, 2, 9, None) for i, (y, x) in enumerate([(0.0, 0.0), (0.0, 9.0), (9.0, 0.0), (9.0, 0.0)])] + [(3, 0, 1.0, 1.0, 0.0, 0.0)], "tf_id int, idx int, t_y double, t_x double, s_y double, s_x double")
+    q = spark.range(0, 60_000, 1, 4).selectExpr("nullif(cast(id % 5 as int), 4) as tf_id", "id as q", "cast(id as double) as y", "2.0D as x")
+    got = mesh.map_by(q, cp, mesh.mesh_map).toPandas()
+    assert (tmp_path / "fits").read_text().split() == ["3"] * 3
+    assert got.groupby("tf_id").size().to_dict() == {1: 12_000, 2: 12_000, 3: 12_000} and got.q.is_unique
+    known = got[got.tf_id < 3]
+    assert (known.y == known.q + known.tf_id).all() and (known.x == 2).all() and got[got.tf_id == 3].y.isna().all()
+
+
 def test_grids_and_assembling_empty_tables(spark):
     none = spark.createDataFrame([], "id int, h int, w int")
     assert grids.edge_grid(none, 10.0).count() == grids.centred_grid(none, 10.0).count() == 0
