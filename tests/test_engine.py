@@ -226,6 +226,23 @@ def test_each_transform_is_fitted_once(spark, tmp_path, monkeypatch):
     assert (known.y == known.q + known.tf_id).all() and (known.x == 2).all() and got[got.tf_id == 3].y.isna().all()
 
 
+def _strip(n):
+    """Control points of a long strip: sources, and targets turned by 0.4."""
+    rng = np.random.default_rng(5)
+    src = np.column_stack([np.arange(n) * 25.0, rng.integers(0, 10, n) * 10.0])
+    a = 0.4
+    return src, src @ np.array([[math.cos(a), math.sin(a)], [-math.sin(a), math.cos(a)]]) + [5, -3]
+
+
+def test_a_grid_over_a_long_mesh_is_whole():
+    src, dst = _strip(400)
+    assert np.abs(mesh.thin_plate(src, dst + src % 7, src) - dst - src % 7).max() < 1e-6
+    grid = np.stack(np.meshgrid(np.arange(400) * 25.0, np.arange(5) * 25.0, indexing="ij"), axis=-1).reshape(-1, 2)
+    a = 0.4
+    want = grid @ np.array([[math.cos(a), math.sin(a)], [-math.sin(a), math.cos(a)]]) + [5, -3]
+    assert np.abs(mesh.mesh_or_plate(src, dst, grid) - want).max() < 1e-6
+
+
 def test_grids_and_assembling_empty_tables(spark):
     none = spark.createDataFrame([], "id int, h int, w int")
     assert grids.edge_grid(none, 10.0).count() == grids.centred_grid(none, 10.0).count() == 0
