@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -66,21 +67,25 @@ def delaunay(points: np.ndarray) -> np.ndarray:
     return np.array([t for k, t in enumerate(tri) if k not in dead and max(t) < n], int).reshape(-1, 3)
 
 
-#: Pairs of a query and a triangle or control point that are held at once.
-PAIRS = 1 << 18
+#: Pairs of a query and a triangle or control point that are held at once; of a spline, which takes many passes over them, in the CPU's cache.
+PAIRS, SPLINE_PAIRS = 1 << 18, 1 << 15
 
 
-def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbours whose sizes add up to PAIRS at most, or single ones."""
+def _blocks(sizes: np.ndarray, most: int = PAIRS) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to ``most`` at most, or single ones."""
     end, at = np.cumsum(sizes), 0
     while at < len(sizes):
-        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + PAIRS, side="right")))
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + most, side="right")))
         yield at, to
         at = to
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a[:, None, 0] - b[None, :, 0]) ** 2 + (a[:, None, 1] - b[None, :, 1]) ** 2
+    y, x = a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1]
+    y *= y
+    x *= x
+    y += x
+    return y
 
 
 def fit_mesh(source: np.ndarray, target: np.ndarray) -> tuple:
@@ -124,7 +129,10 @@ def mesh_map(source: np.ndarray, target: np.ndarray, query: np.ndarray) -> np.nd
 
 
 def _plate_basis(d2: np.ndarray) -> np.ndarray:
-    return np.where(d2 > 0, d2 * np.log(np.where(d2 > 0, d2, 1.0)) / 2, 0.0)
+    out = np.log(np.maximum(d2, np.finfo(float).tiny))
+    out *= d2
+    out /= 2
+    return out
 
 
 def fit_plate(source: np.ndarray, target: np.ndarray) -> tuple:
@@ -149,7 +157,7 @@ def fit_plate(source: np.ndarray, target: np.ndarray) -> tuple:
 def by_plate(fit: tuple, query: np.ndarray) -> np.ndarray:
     s, w, middle, size = fit
     q, out = (query - middle) / size, np.empty((len(query), 2))
-    for k, to in _blocks(np.full(len(q), len(s))):
+    for k, to in _blocks(np.full(len(q), len(s)), SPLINE_PAIRS):
         out[k:to] = _plate_basis(_squares(q[k:to], s)) @ w[: len(s)] + np.column_stack([np.ones(to - k), q[k:to]]) @ w[len(s) :]
     return out
 
@@ -204,6 +212,27 @@ def mesh_or_plate(source: np.ndarray, target: np.ndarray, query: np.ndarray) ->
 FITS = {mesh_map: (fit_mesh, by_mesh), thin_plate: (fit_plate, by_plate), multiquadric: (fit_multiquadric, by_multiquadric), mesh_or_plate: (fit_mesh_or_plate, by_mesh_or_plate)}
 #: Parts into which the points of a transform are spread.
 SPREAD = 8
+#: Cells of a grid that are mapped at once.
+CELLS = 1 << 16
+
+
+def _fits(cp: DataFrame, kind: Callable, inverse: bool = False) -> DataFrame:
+    """(tf_id, fit, box, part): each transform fitted once and the bounds of its sources, for each of SPREAD parts of what it maps."""
+    fit = FITS[kind][0]
+
+    def fitted(group: pa.Table) -> pa.Table:
+        c = np.unique(np.column_stack([np.array(group.column(k)) for k in range(1, 5)]), axis=0)
+        s, g = (c[:, 2:], c[:, :2]) if inverse else (c[:, :2], c[:, 2:])
+        _, first = np.unique(s, axis=0, return_index=True)
+        made = pickle.dumps(fit(s[first], g[first]) if len(first) >= 3 else None)
+        box = [[*s.min(axis=0).tolist(), *s.max(axis=0).tolist()]]
+        return pa.table([group.column(0).slice(0, 1), pa.array([made], pa.binary()), pa.array(box, pa.list_(pa.float64()))], ["tf_id", "fit", "box"])
+
+    # A given number of partitions: control points have few bytes for the time they take, and AQE would put them into one task.
+    tasks = int(cp.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = cp.filter("tf_id is not null").select("tf_id", *[F.col(c).cast("double") for c in ("s_y", "s_x", "t_y", "t_x")]).repartition(tasks, "tf_id")
+    fits = each.groupBy("tf_id").applyInArrow(fitted, f"tf_id {dict(cp.dtypes)['tf_id']}, fit binary, box array<double>")
+    return fits.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
 
 
 def map_by(points: DataFrame, cp: DataFrame, kind: Callable = mesh_or_plate, inverse: bool = False) -> DataFrame:
@@ -213,16 +242,9 @@ def map_by(points: DataFrame, cp: DataFrame, kind: Callable = mesh_or_plate, inv
     fitted); the fit goes to each of SPREAD parts of its points, so a transform that is asked for a third of all points
     is applied in several tasks. Repeated control points count once. A transform of fewer than three maps to NaN.
     """
-    fit, apply = FITS[kind]
+    apply = FITS[kind][1]
     kinds = dict(points.dtypes)
 
-    def fitted(group: pa.Table) -> pa.Table:
-        c = np.unique(np.column_stack([np.array(group.column(k)) for k in range(1, 5)]), axis=0)
-        s, g = (c[:, 2:], c[:, :2]) if inverse else (c[:, :2], c[:, 2:])
-        _, first = np.unique(s, axis=0, return_index=True)
-        made = pickle.dumps(fit(s[first], g[first]) if len(first) >= 3 else None)
-        return pa.table([group.column(0).slice(0, 1), pa.array([made], pa.binary())], ["tf_id", "fit"])
-
     def run(asked: pa.Table, fits: pa.Table) -> pa.Table:
         if not fits.num_rows:
             asked = asked.slice(0, 0)
@@ -231,14 +253,37 @@ def map_by(points: DataFrame, cp: DataFrame, kind: Callable = mesh_or_plate, inv
         out = np.full(q.shape, np.nan) if model is None else apply(model, q)
         return pa.table([asked.column("tf_id"), asked.column("q"), pa.array(out[:, 0]), pa.array(out[:, 1])], ["tf_id", "q", "y", "x"])
 
-    # A given number of partitions: control points have few bytes for the time they take, and AQE would put them into one task.
-    tasks = int(cp.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = cp.filter("tf_id is not null").select("tf_id", *[F.col(c).cast("double") for c in ("s_y", "s_x", "t_y", "t_x")]).repartition(tasks, "tf_id")
-    fits = each.groupBy("tf_id").applyInArrow(fitted, f"tf_id {dict(cp.dtypes)['tf_id']}, fit binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    fits = _fits(cp, kind, inverse).select("tf_id", "fit", "part")
     spread = points.filter("tf_id is not null").select("tf_id", "q", "y", "x", F.pmod(F.xxhash64("q", "y", "x"), F.lit(SPREAD)).cast("int").alias("part"))
     return spread.groupBy("tf_id", "part").cogroup(fits.groupBy("tf_id", "part")).applyInArrow(run, f"tf_id {kinds['tf_id']}, q {kinds['q']}, y double, x double")
 
 
+def grid_by(cp: DataFrame, step: float, kind: Callable = mesh_or_plate) -> DataFrame:
+    """(tf_id, i, j, y, x): a grid of points ``step`` apart from the least source of each transform to past its largest, mapped.
+
+    As ``map_by``, but the points are made where they are mapped, CELLS at a time: a box may hold any number of them.
+    """
+    apply = FITS[kind][1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                made, (low_y, low_x, high_y, high_x), part = (batch.column(k)[row].as_py() for k in range(1, 4))
+                model, wide = pickle.loads(made), math.ceil((high_x - low_x) / step) + 1
+                n = (math.ceil((high_y - low_y) / step) + 1) * wide
+                end = (part + 1) * n // SPREAD
+                for at in range(part * n // SPREAD, end, CELLS):
+                    i, j = np.divmod(np.arange(at, min(at + CELLS, end)), wide)
+                    q = np.column_stack([low_y + i * step, low_x + j * step])
+                    out = np.full(q.shape, np.nan) if model is None else apply(model, q)
+                    ids = batch.column(0).take(pa.array(np.full(len(i), row)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(i), pa.array(j), pa.array(out[:, 0]), pa.array(out[:, 1])], ["tf_id", "i", "j", "y", "x"])
+
+    tasks = int(cp.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fits = _fits(cp, kind).select("tf_id", "fit", "box", "part").repartition(tasks, "tf_id", "part")
+    return fits.mapInArrow(run, f"tf_id {dict(cp.dtypes)['tf_id']}, i bigint, j bigint, y double, x double")
+
+
 def composed(a_to_b: DataFrame, b_to_c: DataFrame) -> DataFrame:
     """Control points of A to C: A's targets pushed through B to C. Both have one transform per tf_id."""
     asked = a_to_b.select("tf_id", F.col("idx").alias("q"), F.col("t_y").alias("y"), F.col("t_x").alias("x"))

@@ -156,12 +156,8 @@ def local_rigid(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def grid_resample(spark: SparkSession, d: str) -> DataFrame:
     """Each mesh as a regular grid of points 25 apart over its source box."""
-    cp = V.control_points(spark, d)
-    box = cp.groupBy("tf_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("s_y", "s_x") for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    steps = lambda c: F.explode(F.sequence(F.lit(0), F.ceil((F.col(f"hi_{c}") - F.col(f"lo_{c}")) / 25).cast("int")))
-    g = box.withColumn("i", steps("s_y")).withColumn("j", steps("s_x"))
-    points = g.select("tf_id", (F.col("i") * 10_000 + F.col("j")).alias("q"), (F.col("lo_s_y") + F.col("i") * 25).alias("y"), (F.col("lo_s_x") + F.col("j") * 25).alias("x"))
-    return mesh.map_by(points, cp).select("tf_id", F.col("q").alias("cell"), r("y", 3), r("x", 3))
+    g = mesh.grid_by(V.control_points(spark, d), 25.0)
+    return g.select("tf_id", (F.col("i") * 10_000 + F.col("j")).alias("cell"), r("y", 3), r("x", 3))
 
 
 @query()

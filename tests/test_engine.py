@@ -243,6 +243,17 @@ def test_a_grid_over_a_long_mesh_is_whole():
     assert np.abs(mesh.mesh_or_plate(src, dst, grid) - want).max() < 1e-6
 
 
+def test_a_grid_over_far_control_points_is_whole(spark, tmp_path):
+    from lattica.plans.registry import queries
+
+    keys = [(1, 0), (15, 0), (6_000_008, 0), (3, 1), (7, None)]
+    spark.createDataFrame([(k, t, 0.0) for k, t in keys], "s_suppkey bigint, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = queries()["grid_resample"](spark, str(tmp_path)).groupBy("tf_id").agg(F.count("*"), F.count_distinct("cell"), F.max("cell"), F.max(F.abs(F.col("y") - F.expr("cell div 10000 * 25"))))
+    zero, one = sorted(got.collect())
+    assert tuple(zero)[:4] == (0, 240_001 * 4, 240_001 * 4, 2_400_000_003) and zero[4] < 0.01
+    assert tuple(one)[:4] == (1, 1, 1, 0)
+
+
 def test_grids_and_assembling_empty_tables(spark):
     none = spark.createDataFrame([], "id int, h int, w int")
     assert grids.edge_grid(none, 10.0).count() == grids.centred_grid(none, 10.0).count() == 0
