@@ -31,6 +31,8 @@ from lattica.sources.tables import load, materialize
 EM_ROUNDS = 6
 #: Characters at the end of a word that tell it from others before a stop: longer than any abbreviation.
 WORD_END = 40
+#: Characters a text has between white space on average, from which its words are counted one by one.
+TOKEN = 20
 
 #: Words whose stop mostly is part of the word, fixed values: a prior for the model's counts.
 ABBREVIATIONS = frozenset(
@@ -58,6 +60,10 @@ _HEADING = re.compile(r"【[^】\n]*[^】\d０-９\n][】]$")
 _LEFT = re.compile(r"(\S*?)[.．!?…]*$")
 _WORD = re.compile(rf"[{_CJK}]{{1,2}}|[^\s{_CJK}{_CLOSERS},;:，；：、.]+(?:\.[^\s{_CJK}{_CLOSERS},;:，；：、.]+)*|\S")
 _DIGITS = re.compile(r"\d+")
+_SPACE = re.compile(r"\s*")
+#: What a word's key starts behind.
+_CUTS = "([{（“„«\"「\t\u00a0\u3000"
+_CUT = re.compile(f"[{re.escape(_CUTS)}]")
 _CLOSE_SET = frozenset("\"”“’»›」』）)]】］》")
 _STOP_SET = frozenset(".．!?。！？｡।॥…|")
 _TAIL_SET = _CLOSE_SET | _STOP_SET
@@ -65,6 +71,8 @@ _RUN_SET = _STOP_SET - {"|"}
 #: Signs that are nothing but full stops, fixed values.
 _PURE_STOPS = "。！？｡।॥"
 _OPENING = frozenset("\"“„«「『(（")
+#: Where a word of running text starts that ends at white space only.
+_LETTER = re.compile(rf"[^\W\d_{_CJK}]")
 #: A word of running text; its group is what the word's key is made from.
 _RUNNING = re.compile(rf"(?=\w|[\"“„«「『(（]\w)(?=([\"“„«「『(（]?(?:{_WORD.pattern})))(?:[\"“„«「『(（](?=\w)|[^\W\d_{_CJK}]\S*|[{_CJK}]{{2}}|\d+)")
 
@@ -97,7 +105,7 @@ def _right(text: str, at: int) -> str:
     if not m:
         return ""
     word = m.group()
-    return _DIGITS.sub("9", word)
+    return word if word.isalpha() else _DIGITS.sub("9", word)
 
 
 class Gap:
@@ -159,7 +167,7 @@ def gaps(text: str) -> list[Gap]:
     n = len(text)
     out: list[Gap] = []
     spans, closes = _spans(text)
-    k, at, last_claim = 0, 0, 0
+    k, at, last_claim, line_start, seen = 0, 0, 0, 0, 0
     first_break = text.find("\n", n - len(text.lstrip()))
     thai_doc = _THAI_SIGN.search(text) is not None
     for m in (_HIT_THAI if thai_doc else _HIT).finditer(text):
@@ -201,11 +209,12 @@ def gaps(text: str) -> list[Gap]:
             inside |= spans[j][1] > end
             j += 1
         nxt = end
-        while nxt < n and text[nxt].isspace():
+        if nxt < n and text[nxt].isspace():
             nxt += 1
-        at = max(nxt, end)
-        space = text[end:nxt]
-        breaks = space.count("\n")
+            if nxt < n and text[nxt].isspace():
+                nxt = _SPACE.match(text, nxt).end()
+        at = nxt
+        breaks = text.count("\n", end, nxt) if nxt > end else 0
         if nxt == n:
             out.append(Gap(end, nxt, 1, "", "", False, "end"))
             break
@@ -214,7 +223,9 @@ def gaps(text: str) -> list[Gap]:
             continue
         right = _right(text, nxt)
         fixed: int | None = None
-        line_start = text.rfind("\n", 0, start) + 1
+        # Only what lies behind the gap before is searched, as a line may be long.
+        line_start = max(line_start, text.rfind("\n", seen, start) + 1)
+        seen = start
         if kind == "thai":
             out.append(Gap(end, nxt, 1, "", right, False, "thai"))
             continue
@@ -238,7 +249,8 @@ def gaps(text: str) -> list[Gap]:
             if claim and (fixed == 1):
                 last_claim = claim
         elif kind == "stop":
-            head = text[line_start:start].strip()
+            first, last = text[line_start], text[start - 1] if start else ""
+            head = text[line_start:start].strip() if (first.isdigit() or first.isspace()) and (last.isdigit() or last.isspace()) else ""
             # The number that opens a claim or list item.
             if head.isdigit() and len(head) <= 4 and not text[start:end].strip(".．"):
                 if not last_claim or int(head) == 1:
@@ -280,10 +292,11 @@ def _left(text: str, start: int, end: int, kind: str, breaks: int, out: list[Gap
     """Key of what precedes a gap, and whether the gap before lies only one word back."""
     # A word counts by its last ``WORD_END`` characters.
     lowest = max(0, start - WORD_END, out[-1].next if out and out[-1].next == out[-1].end and out[-1].kind == "stop" and out[-1].fixed is None and len(out[-1].left) > 4 else 0)
-    a = max(lowest, text.rfind(" ", lowest, start) + 1, text.rfind("\n", lowest, start) + 1)
+    a = text.rfind(" ", lowest, start) + 1 or lowest
+    a = text.rfind("\n", a, start) + 1 or a
     word = text[a:start]
-    cut = max(map(word.rfind, "([{（“„«\"「\t\u00a0\u3000")) + 1
-    if cut:
+    if not word.isalnum() and _CUT.search(word):
+        cut = max(map(word.rfind, _CUTS)) + 1
         a += cut
         word = word[cut:]
     near = bool(out) and out[-1].next >= a and out[-1].kind != "span"
@@ -305,7 +318,7 @@ def _left(text: str, start: int, end: int, kind: str, breaks: int, out: list[Gap
     if key[-1:].isdigit() or (len(key) == 1 and key.isalpha()):
         before = text[lowest:a].split()
         key = (before[-1].lower() if before else "") + " " + ("9" if key[-1:].isdigit() else key)
-    return "." + _DIGITS.sub("9", key) + closed + how, near
+    return "." + (key if key.isalpha() else _DIGITS.sub("9", key)) + closed + how, near
 
 
 def _left_back(left: str) -> str:
@@ -451,7 +464,8 @@ def _prior(key: str) -> float:
 class Counts(NamedTuple):
     """N-gram counts of texts: words that begin sentences, words in running text, hidden events, what ends paragraphs.
 
-    ``others`` are words of running text by class, for those that are in no event.
+    ``others`` are words of running text by class, for those that are in no event. While texts are tallied it holds what
+    stands between white space, whose words ``_keyed`` adds to those of ``running``.
     """
 
     begin: Counter[str]
@@ -479,21 +493,44 @@ def _tally(text: str, here: list[Gap], counts: Counts) -> None:
                 counts.ends[g.left] += 1
         elif g.fixed is None:
             counts.hidden[(g.left, g.right)] += 1
-    stops = {g.next for g in here}
-    if all(at == 0 or at >= len(text) or text[at - 1].isspace() for at in stops):
-        # No word reaches over white space: a word starts at a stop's next place, or none does.
-        counts.running.update(_RUNNING.findall(text))
-        counts.running.subtract([m.group(1) for at in stops if (m := _RUNNING.match(text, at))])
+    # No word reaches over white space. What stands between it recurs, but not in scripts without spaces.
+    runs = text.split()
+    if len(text) < TOKEN * len(runs):
+        counts.others.update(runs)
     else:
-        counts.running.update([m.group(1) for m in _RUNNING.finditer(text) if m.start() not in stops])
+        counts.running.update(_RUNNING.findall(text))
+    counts.running.subtract([m.group(1) for at in _starts(text, here) if (m := _RUNNING.match(text, at))])
 
 
-def _keyed(running: Counter[str]) -> Counter[str]:
+def _starts(text: str, here: list[Gap]) -> Iterator[int]:
+    """The next places of gaps at which no word of running text from before goes on: one that begins with a letter ends at white space only."""
+    seen, inside, last = 0, False, -1
+    for g in here:
+        at = g.next
+        if at == last:
+            continue
+        last = at
+        if at and not text[at - 1].isspace():
+            *before, run = text[seen:at].rsplit(None, 1)
+            inside = inside and not before and not text[seen].isspace() or _LETTER.search(run) is not None
+            seen = at
+            if inside:
+                continue
+        yield at
+
+
+def _keyed(counts: Counts) -> Counter[str]:
+    """The words of running text of tallied texts by key; empties what they were held in."""
     out: Counter[str] = Counter()
-    for raw, n in running.items():
+    for raw, n in counts.running.items():
         if n:
             out[_key(raw)] += n
-    return out
+    for run, n in counts.others.items():
+        for raw in _RUNNING.findall(run):
+            out[_key(raw)] += n
+    counts.running.clear()
+    counts.others.clear()
+    return Counter({k: n for k, n in out.items() if n})
 
 
 def train(texts: list[str], rounds: int = EM_ROUNDS) -> Model:
@@ -501,7 +538,7 @@ def train(texts: list[str], rounds: int = EM_ROUNDS) -> Model:
     counts = Counts(Counter(), Counter(), Counter(), Counter(), Counter())
     for text in texts:
         _tally(text, gaps(text), counts)
-    return fit(counts._replace(running=_keyed(counts.running)), rounds)
+    return fit(counts._replace(running=_keyed(counts)), rounds)
 
 
 def fit(counts: Counts, rounds: int = EM_ROUNDS) -> Model:
@@ -620,7 +657,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     def passed(counts: Counts) -> list[pa.RecordBatch]:
         rows = [(BEGIN, None, k, n) for k, n in counts.begin.items()] + [(ENDS, k, None, n) for k, n in counts.ends.items()]
-        rows += [(HIDDEN, a, b, n) for (a, b), n in counts.hidden.items()] + [(RUNNING, _shape(k), k, n) for k, n in _keyed(counts.running).items()]
+        rows += [(HIDDEN, a, b, n) for (a, b), n in counts.hidden.items()] + [(RUNNING, _shape(k), k, n) for k, n in _keyed(counts).items()]
         for c in counts:
             c.clear()
         return table(dict(zip(names[1], map(list, zip(*rows, strict=True)), strict=True))) if rows else []

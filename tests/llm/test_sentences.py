@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -124,3 +125,26 @@ def test_long_quotations_and_brackets(model):
         assert cut(f"{first} The film is thin. {second}", model) == [first, "The film is thin.", second]
     assert cut('A 5" pipe is new. The film (see (a) and "b. The". The rotor is old.\n\nA film) is thin.', model) == ['A 5" pipe is new.', 'The film (see (a) and "b. The".', "The rotor is old.", "A film) is thin."]
     assert len(cut("(" * 100_000 + "The unit is new. " * 10 + ")" * 100_000, model)) == 1
+
+
+def test_time_grows_as_the_length_of_a_line():
+    def seconds(n):
+        text = "The unit no. 5 is new. " * n
+        began = time.thread_time()
+        assert len(S.gaps(text)) == 2 * n
+        return time.thread_time() - began
+
+    assert min(seconds(80_000) for _ in range(2)) < 3 * 8 * min(seconds(10_000) for _ in range(3))
+
+
+def test_words_are_counted_whole_in_any_script():
+    def words(text):
+        counts = S.Counts(*[S.Counter() for _ in range(5)])
+        here = S.gaps(text)
+        S._tally(text, here, counts)
+        starts = {g.next for g in here}
+        return S._keyed(counts), S.Counter(S._key(m.group(1)) for m in S._RUNNING.finditer(text) if m.start() not in starts)
+
+    for text in ("The unit (a rotor) is no. 5A.The film-like unit is new.\n\nThe end.", "可以采用nifuapid.所述壳体的厚度约为9.55毫米.结果令人惊讶！“停！内有”字样出现。" * 3, "5. 5. “x”.y。的z.所述 9-x 9-x。A", ".", "。的"):
+        got, want = words(text)
+        assert got == want and 0 not in got.values()
